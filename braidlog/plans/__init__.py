@@ -1,0 +1 @@
+"""Batch layouts for logs that outgrow one pass."""
