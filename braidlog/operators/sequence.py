@@ -119,7 +119,7 @@ def resolve_cursors(cursor: DataFrame, shown: DataFrame) -> DataFrame:
 def marks(ops: DataFrame, shown: DataFrame) -> DataFrame:
     """``(doc_id, obj, op, name, value, start, end)`` with an exclusive end; a mark goes with either end."""
     m = (ops.where((F.col("action") == "mark") & F.col("key_str").isNotNull() & (F.size("pred") >= 2)).withColumn("obj", anchor(F.col("obj")))
-         .select(*OBJ, "op", F.col("key_str").alias("name"), "value", F.col("pred")[0].alias("a"), F.col("pred")[1].alias("b")))
+         .select(*OBJ, "op", F.col("key_str").alias("name"), "value", F.get("pred", 0).alias("a"), F.get("pred", 1).alias("b")))
     at = shown.select("doc_id", "obj", "elem", "idx")
     first = at.select(*OBJ, F.col("elem").alias("a"), F.col("idx").alias("start"))
     last = at.select(*OBJ, F.col("elem").alias("b"), (F.col("idx") + 1).alias("end"))
