@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 #: Code points of one chunk, and of the overlap on either side of a cut.
 CHUNK, OVERLAP = 32768, 2048
-#: Distinct pieces whose ids a worker remembers.
-MEMO = 200_000
+#: Distinct pieces whose ids a worker remembers; it forgets them when a task ends.
+MEMO = 60_000
 
 
 @lru_cache(maxsize=2)
@@ -95,6 +95,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for b in batches:
             ids = [_encode_pieces(model, model["split"].findall(t)) for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "ids": ids, "n_tokens": [len(x) for x in ids]})
+        model["memo"].clear()
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pre-tokenise and encode one chunk; tell its boundaries in both overlaps."""
