@@ -8,8 +8,9 @@ The arrays lie in the shared folder as plain ``.npy`` files; scoring workers
 memory-map them and look up sorted hashes, so a worker's own memory holds one
 batch of texts whatever the model's size.
 
-The order is two: on the check tables trigrams are nearly all distinct, and
-their counts alone would exceed four times the input on disk.
+The order is two. The bigram model projects to 3.6 times the input on disk of
+the four allowed; check_s has 18.9 million distinct trigrams beside 12.1 million
+distinct bigrams, so a third order is estimated, not measured, to exceed it.
 """
 
 from __future__ import annotations
