@@ -21,6 +21,8 @@ from .common import work_dir
 
 #: Runs of a level before they are merged, and batches of a whole table.
 FANOUT, BATCHES = 3, 4
+#: Lines that are joined by broadcast, at most: 24 bytes each.
+HOT_LINES = 200_000
 #: Keys shorter than this many code points are never dropped.
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Fixed value: the white space stripped from both ends of a line.
@@ -105,16 +107,36 @@ class LineIndex:
         return [r for level in self.levels for r in level]
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """``(h1, h2, last)`` of the lines that at least ``min_docs`` documents hold."""
+        """``(h1, h2, n_docs, last)`` of the lines that at least ``min_docs`` documents hold."""
         if not self.runs():
-            return self.spark.createDataFrame([], "h1 long, h2 long, last long")
-        return self._merged(self.runs()).where(F.col("n_docs") >= min_docs).drop("n_docs")
+            return self.spark.createDataFrame([], "h1 long, h2 long, n_docs long, last long")
+        return self._merged(self.runs()).where(F.col("n_docs") >= min_docs)
 
-    def to_drop(self, hashed: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """``(id, drop array<binary>)``: of each document, the hashes it must lose."""
-        lost = hashed.join(self.repeated(min_docs), ["h1", "h2"]).where("id <> last")
+    def hot_above(self, at_most: int = HOT_LINES) -> int:
+        """The least count K of documents such that the runs cannot hold more than ``at_most`` lines of over K documents.
+
+        With n the documents of all lines summed, fewer than n / K lines can have over K.
+        """
+        if not self.runs():
+            return 0
+        n = self.spark.read.schema("n_docs long").parquet(*self.runs()).agg(F.sum("n_docs")).first()[0] or 0
+        return -(-n // at_most)
+
+    def to_drop(self, hashed: DataFrame, min_docs: int = MIN_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+        """``(id, drop array<binary>)``: of each document, the hashes it must lose.
+
+        Lines of over ``hot_above`` documents are joined by broadcast, whose
+        rows that bound proves to be ``hot_lines`` at most; all other lines
+        meet the runs by a shuffle, in which no key then has many rows.
+        """
+        above = self.hot_above(hot_lines)
+        repeated = self.repeated(min_docs)
+        hot = F.broadcast(repeated.where(F.col("n_docs") > above).select("h1", "h2", "last"))
+        rest = repeated.where(F.col("n_docs") <= above).select("h1", "h2", "last")
+        keys = ["h1", "h2"]
+        met = hashed.join(hot, keys).unionByName(hashed.join(hot, keys, "left_anti").join(rest, keys))
         both = F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0")))
-        return lost.groupBy("id").agg(F.collect_set(both).alias("drop"))
+        return met.where("id <> last").groupBy("id").agg(F.collect_set(both).alias("drop"))
 
 
 def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -142,7 +164,7 @@ def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_docs: int = MIN_DOCS,
-          min_chars: int = MIN_CHARS, fanout: int = FANOUT) -> DataFrame:
+          min_chars: int = MIN_CHARS, fanout: int = FANOUT, hot_lines: int = HOT_LINES) -> DataFrame:
     """``(id_col, kept, n_lines, n_dropped)``: whole texts without the lines that repeat across documents.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.
@@ -150,7 +172,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     lose all their lines except in the largest id holding it. Documents with
     the same id count once; rows with a null id lose nothing; a null or empty
     text is one empty line. Line hashes are written once; batches are dealt by
-    id, add their runs, and then every batch is joined with the runs.
+    id, add their runs, and then every batch is joined with the runs, the lines of
+    most documents by a broadcast of bounded size.
     """
     spark = docs.sparkSession
     index = LineIndex(spark, fanout=fanout)
@@ -159,7 +182,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     hashed = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(at)
     for k in range(batches):
         index.add(hashed.where(F.col("batch") == k).select("id", "h1", "h2"))
-    return without_lines(docs, index.to_drop(hashed.select("id", "h1", "h2"), min_docs), id_col, text_col, min_chars)
+    return without_lines(docs, index.to_drop(hashed.select("id", "h1", "h2"), min_docs, hot_lines), id_col, text_col, min_chars)
 
 
 #: The same digests in DuckDB.

@@ -214,8 +214,8 @@ def test_line_index_compacts_and_agrees(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     held = {x: sorted(i for i, t in texts.items() if x in t.split("\n")) for x in lines}
     want = {i: "\n".join(x for x in t.split("\n") if len(held[x]) < 3 or held[x][-1] == i) for i, t in texts.items()}
-    for batches, fanout in ((1, 3), (5, 2)):
-        assert {r.doc_id: r.kept for r in linededup.dedup(df, batches=batches, fanout=fanout).collect()} == want
+    for batches, fanout, hot in ((1, 3, 200_000), (5, 2, 12), (2, 3, 5)):
+        assert {r.doc_id: r.kept for r in linededup.dedup(df, batches=batches, fanout=fanout, hot_lines=hot).collect()} == want
 
 
 def test_url_rules_and_reputation(spark):
