@@ -149,6 +149,11 @@ def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text
         for b in batches:
             kept, n, m = [], [], []
             for text, gone in zip(b["text"], b["drop"]):
+                if gone is None:
+                    kept.append(text)
+                    n.append(text.count("\n") + 1)
+                    m.append(0)
+                    continue
                 lines, keys = line_keys(text, min_chars)
                 gone = {bytes(x) for x in gone}
                 left = [x for x, k in zip(lines, keys) if k is None or k not in gone]
@@ -157,10 +162,7 @@ def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text
                 m.append(len(lines) - len(left))
             yield pd.DataFrame({id_col: b["key"], "kept": kept, "n_lines": n, "n_dropped": m})
 
-    same = rows.where("drop is null").select(
-        F.col("key").alias(id_col), F.col("text").alias("kept"),
-        (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    return same.unionByName(rows.where("drop is not null").mapInPandas(run, f"{id_col} {kind}, kept string, n_lines long, n_dropped long"))
+    return rows.mapInPandas(run, f"{id_col} {kind}, kept string, n_lines long, n_dropped long")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_docs: int = MIN_DOCS,
