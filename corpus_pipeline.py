@@ -34,9 +34,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles at a Jaccard similarity of 0.8) the smallest id stays."""
     small_batches(spark)
-    found = simhash_dedup.near_duplicates(docs)
+    found = simhash_dedup.near_duplicates(docs, similarity=0.8)
     return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
 
 
