@@ -139,11 +139,15 @@ class LineIndex:
         return met.where("id <> last").groupBy("id").agg(F.collect_set(both).alias("drop"))
 
 
-def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(id_col, kept string, n_lines, n_dropped)``, one row per row of ``docs``; null texts become empty."""
+def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, kept string, n_lines, n_dropped)``, one row per row of ``docs``; null texts become empty.
+
+    ``carry`` names columns of ``docs`` that are added to the result, beside their rows.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = (docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-            .join(drop, F.col("key") == F.col("id"), "left").select("key", "text", "drop"))
+    rows = (docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *carry)
+            .join(drop, F.col("key") == F.col("id"), "left").select("key", "text", "drop", *carry))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,14 +164,15 @@ def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text
                 kept.append("\n".join(left))
                 n.append(len(lines))
                 m.append(len(lines) - len(left))
-            yield pd.DataFrame({id_col: b["key"], "kept": kept, "n_lines": n, "n_dropped": m})
+            yield pd.DataFrame({id_col: b["key"], "kept": kept, "n_lines": n, "n_dropped": m, **{c: b[c] for c in carry}})
 
-    return rows.mapInPandas(run, f"{id_col} {kind}, kept string, n_lines long, n_dropped long")
+    carried = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInPandas(run, f"{id_col} {kind}, kept string, n_lines long, n_dropped long{carried}")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, min_docs: int = MIN_DOCS,
-          min_chars: int = MIN_CHARS, fanout: int = FANOUT, hot_lines: int = HOT_LINES) -> DataFrame:
-    """``(id_col, kept, n_lines, n_dropped)``: whole texts without the lines that repeat across documents.
+          min_chars: int = MIN_CHARS, fanout: int = FANOUT, hot_lines: int = HOT_LINES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(id_col, kept, n_lines, n_dropped)`` and the columns ``carry``: whole texts without the lines that repeat across documents.
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.
     Keys of ``min_chars`` code points or more that ``min_docs`` documents hold
@@ -184,7 +189,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     hashed = spark.read.schema("id long, h1 long, h2 long, batch int").parquet(at)
     for k in range(batches):
         index.add(hashed.where(F.col("batch") == k).select("id", "h1", "h2"))
-    return without_lines(docs, index.to_drop(hashed.select("id", "h1", "h2"), min_docs, hot_lines), id_col, text_col, min_chars)
+    return without_lines(docs, index.to_drop(hashed.select("id", "h1", "h2"), min_docs, hot_lines), id_col, text_col, min_chars, carry)
 
 
 #: The same digests in DuckDB.

@@ -12,38 +12,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidlog.llm import bpe, linededup, mixing, quality, simhash_dedup
-from braidlog.llm.common import small_batches, work_dir
+from braidlog.llm.common import cut, small_batches, work_dir
 from braidlog.llm.queries import good_labels, tokenizer
 
 
+#: Name of the key that joins a stage's decisions with its rows.
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key that is never null and equal only for rows equal in all columns."""
+    parts = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn(ROW, F.xxhash64(*parts))
+
+
+def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed ``docs`` joined with ``keys`` ``(ROW, n, ...)``; of the ``n`` rows of a repeated key, one.
+
+    Only the rows of repeated keys are grouped to be told apart.
+    """
+    met = docs.join(keys, ROW)
+    return met.where("n = 1").unionByName(met.where("n > 1").dropDuplicates([ROW]))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it is fitted on the labelled ones among ``docs``."""
+    """Documents that the classifier rejects go; it is fitted on the labelled ones among ``docs``.
+
+    Each row has its own verdict, whatever its id: of rows that share an id some
+    may stay, rows with a null id are judged, and equal rows have equal verdicts.
+    """
     small_batches(spark)
-    judged = quality.resample(docs, good_labels(spark, sf_dir))
-    return docs.join(judged.where("kept").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = keyed(docs)
+    judged = quality.select(cut(quality.score(rows, quality.fit(docs, good_labels(spark, sf_dir)), ROW)))
+    return rows.join(judged.where("kept").select(ROW).distinct(), ROW, "left_semi").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three documents share stay in the last of them only. A text left without any word goes."""
+    """Lines that three documents share stay in the last of them only. A text left without any word goes.
+
+    Rows with the same id are one document when its lines are counted, and each
+    keeps its own text without them; rows with a null id lose nothing.
+    """
     small_batches(spark)
-    kept = linededup.dedup(docs).where("n_dropped > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    out = docs.join(kept, "doc_id", "left")
+    rows = keyed(docs)
+    kept = linededup.dedup(rows, carry=(ROW,)).where("n_dropped > 0").select(ROW, "kept").dropDuplicates([ROW])
+    out = rows.join(kept, ROW, "left")
     text = F.coalesce("kept", "text")
     out = out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
     return out.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles at a Jaccard similarity of 0.8) the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles at a Jaccard similarity of 0.8) one row stays.
+
+    It is a row of the smallest id, null ids last; rows that share an id or are
+    equal in all columns are told apart like any others.
+    """
     small_batches(spark)
-    found = simhash_dedup.near_duplicates(docs, similarity=0.8)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = keyed(docs)
+    found = simhash_dedup.near_duplicates(rows, ROW, similarity=0.8).select(ROW, "component_id")
+    of = found.groupBy(ROW, "component_id").agg(F.count("*").alias("n")).join(rows.select(ROW, "doc_id").distinct(), ROW)
+    first = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW, "n")).alias("x"))
+    return once(rows, cut(first.select(F.col(f"x.{ROW}").alias(ROW), F.col("x.n").alias("n")))).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none to three copies of a row."""
-    taken = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them: none to three copies of a row.
+
+    Rows that share an id have their own copies; of equal rows the copies are summed.
+    """
+    rows = keyed(docs)
+    taken = cut(mixing.mix(rows, ROW).groupBy(ROW).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
+    return once(rows, taken).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
