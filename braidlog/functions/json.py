@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import OPS
+from ..storage import cut
 
 #: Fixed value: an array index of a pointer.
 INDEX = re.compile(r"0|[1-9][0-9]*")
@@ -377,11 +378,12 @@ def from_tagged(x: Any) -> tuple[str, Any]:
     return infer(x)
 
 
-def export_maps(won: DataFrame, depth: int = 8) -> DataFrame:
+def export_maps(won: DataFrame) -> DataFrame:
     """``(doc_id, json)`` of documents made of maps, from their winners.
 
-    Children are folded into their parents one level a round, deepest first;
-    ``depth`` bounds the rounds, and one map is one group.
+    Children are folded into their parents one level a round until a round
+    changes nothing, so any depth is whole; one map is one group. Each round is
+    checkpointed to the shared folder.
     """
     node = won.select("doc_id", "obj", "key_str", "op", "value", F.when(F.col("value.tag") != "obj", scalar_json(F.col("value"))).alias("json"))
 
@@ -389,9 +391,16 @@ def export_maps(won: DataFrame, depth: int = 8) -> DataFrame:
         key = F.expr("substring(to_json(struct(key_str as k)), 6, length(to_json(struct(key_str as k))) - 6)")
         return rows.groupBy("doc_id", "obj").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key_str", F.concat(key, F.lit(":"), F.col("json")).alias("m")))), lambda x: x["m"]), ","), F.lit("}")).alias("folded"))
 
-    has_objects = "obj" in won.columns and won.where("value.tag = 'obj'").limit(1).count() > 0
-    for _ in range(depth if has_objects else 0):
-        done = fold(node.withColumn("json", F.coalesce("json", F.lit("{}")))).select("doc_id", F.col("obj").alias("op"), "folded")
-        node = node.join(done, ["doc_id", "op"], "left").withColumn("json", F.when(F.col("value.tag") == "obj", F.coalesce("folded", F.lit("{}"))).otherwise(F.col("json"))).drop("folded")
+    objects = won.where("value.tag = 'obj'").count() if "obj" in won.columns else 0
+    node = cut(node.withColumn("json", F.coalesce("json", F.lit("{}")))) if objects else node
+    # a level holds an object at least, so there are no more rounds than objects
+    for _ in range(objects):
+        done = fold(node).select("doc_id", F.col("obj").alias("op"), "folded")
+        new = F.when(F.col("value.tag") == "obj", F.coalesce("folded", F.lit("{}"))).otherwise(F.col("json"))
+        node = cut(node.join(done, ["doc_id", "op"], "left").withColumn("changed", ~new.eqNullSafe(F.col("json"))).withColumn("json", new).select(*node.columns, "changed"))
+        ended = not node.where("changed").limit(1).count()
+        node = node.drop("changed")
+        if ended:
+            break
     root = fold(node.where("obj.counter = 0"))
     return root.select("doc_id", F.col("folded").alias("json"))
