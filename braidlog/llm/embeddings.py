@@ -27,6 +27,8 @@ THRESHOLD = 0.9
 #: of its own, which evens out how many filters a vector passes. At a cosine of
 #: exactly 0.9, 97 of 100 random pairs share a filter, at 0.95 all but a few.
 ROTATIONS, BLOCKS, WORDS, CAP = 48, 4, 8, 3.4
+#: Share of random pairs at the threshold that the filters of short vectors must find.
+RECALL = 0.97
 #: Vectors compared at once; a fuller filter is compared in pairs of blocks.
 BLOCK_ROWS = 512
 SEED = 20
@@ -36,6 +38,8 @@ SEED = 20
 def codes(dim: int, rotations: int = ROTATIONS, blocks: int = BLOCKS, words: int = WORDS, seed: int = SEED) -> list[tuple]:
     """Random rotations, each with random unit code words for every block of dimensions."""
     rng = np.random.default_rng([seed, dim])
+    # a block of one component would repeat two code words
+    blocks = max(1, min(blocks, dim // 2))
     out = []
     for _ in range(rotations):
         turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -78,6 +82,33 @@ def list_decode(unit: np.ndarray, turned: list[tuple], cap: float = CAP) -> tupl
     return row[order], ids[order]
 
 
+@lru_cache(maxsize=256)
+def cap_for(dim: int, threshold: float = THRESHOLD, cap: float = CAP, rotations: int = ROTATIONS, blocks: int = BLOCKS,
+            words: int = WORDS, seed: int = SEED) -> float:
+    """The deviations that vectors of ``dim`` components must exceed: ``cap`` from 64 on, less for shorter ones.
+
+    A filter's direction has norm sqrt(blocks) at most, so a fixed number of
+    deviations is more than short vectors can reach. For them the largest step
+    is taken at which ``RECALL`` of random pairs at the threshold share a filter.
+    """
+    if dim >= 64 or dim < 2:
+        return cap if dim >= 64 else min(cap, 0.5)
+    rng, turned = np.random.default_rng([seed, dim, 1]), codes(dim, rotations, blocks, words, seed)
+    a, n = rng.standard_normal((2, 300, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    n -= (n * a).sum(1, keepdims=True) * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    # no direction passes beyond sqrt(dim) deviations
+    for step in np.arange(min(cap, np.sqrt(dim)), 0, -0.1):
+        sets = []
+        for x in (a, b):
+            row, found = list_decode(x, turned, step)
+            sets.append(row.astype(np.int64) << 32 | found)
+        if len(np.unique(np.intersect1d(*sets) >> 32)) >= RECALL * len(a):
+            return float(step)
+    return 0.0
+
+
 def units(v: pd.Series) -> np.ndarray:
     """Unit vectors in double precision, scaled first so that no square overflows."""
     unit = np.array(v.tolist(), dtype=np.float64)
@@ -136,7 +167,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     or non-finite components, link with nothing. Equal vectors are one node
     with a number of copies. ``component_id`` is the smallest id reachable.
     Rows with a null id are ignored. Rows found are exact; the filters may miss
-    a pair, less often the closer it is (measured in the tests).
+    a pair, less often the closer it is (measured in the tests); vectors under 64
+    components have a lower cap, so that they are found as often.
     """
     src = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     big = F.lit(1.7e308)
@@ -157,9 +189,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         for b in batches:
             for dim, g in b.groupby(b["v"].map(len)):
                 turned = codes(int(dim), rotations, blocks, words, seed)
+                least = cap_for(int(dim), threshold, cap, rotations, blocks, words, seed)
                 for k in range(0, len(g), 500):
                     part = g.iloc[k:k + 500]
-                    at, found = list_decode(units(part["v"]), turned, cap)
+                    at, found = list_decode(units(part["v"]), turned, least)
                     each = np.split(found.astype(np.int32), np.searchsorted(at, np.arange(1, len(part))))
                     yield pd.DataFrame({"dim": int(dim), "id": part["id"].to_numpy(), "filters": each})
 
