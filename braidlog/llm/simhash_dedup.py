@@ -35,8 +35,8 @@ BUCKET = 64
 #: Fixed value: generator polynomial of the binary Golay code [23, 12, 7].
 GOLAY_GENERATOR = 0b110001110101
 #: MinHash bands and the hashes in each: a pair at a Jaccard similarity s shares
-#: a band with probability 1 - (1 - s**ROWS)**BANDS, 0.997 at 0.8 and over 0.9999 from 0.85 on.
-BANDS, ROWS = 32, 8
+#: a band with probability 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8 and over 0.9999 from 0.85 on.
+BANDS, ROWS = 20, 6
 #: Texts compared with one text in one group of rows.
 COMPARED = 256
 
@@ -240,18 +240,20 @@ def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shing
     """Verified links ``(a, b)`` that connect the nodes of ``sketches`` at the similarity.
 
     Candidates share a MinHash band or a component of the fingerprints within
-    two bits. The holders of a key are compared with the smallest of them
-    first; then all pairs under a key that no link connects yet are compared,
-    so that a crowd of near copies gives no pairs by the square and no
-    candidate that could join two components is left out. Pairs whose sizes
-    rule the similarity out are not compared.
+    two bits. They are compared in three rounds, each leaving out what the links
+    so far connect: a node with the smallest holder of most of its keys, so its
+    text moves once; then with the smallest holders of its other keys; then all
+    pairs under a key that still holds two components. So a crowd of near copies
+    gives no pairs by the square, and no candidate that could join two
+    components is left out. Pairs whose sizes rule the similarity out are not
+    compared.
     """
     prints = nodes.select("fp").distinct()
     comp = connected_components(links(prints), "a", "b").select(F.col("node").alias("fp"), "component")
     by_print = nodes.join(comp, "fp", "left").select("node", "n", F.xxhash64(F.lit(0), F.coalesce("component", "fp")).alias("key"))
     keyed = nodes.select("node", "n", F.explode("bands").alias("key")).unionByName(by_print.where("n > 0"))
-    held = (keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min(F.struct("node", "n")).alias("lead")).where("holders > 1")
-            .select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
+    held = (keyed.groupBy("key").agg(F.count("*").alias("holders"), F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"))
+            .where("holders > 1").select("key", "lead", "lead_n"))
     met = cut(keyed.join(held, "key"))
     involved = nodes.join(met.select("node").distinct(), "node", "left_semi").select("row", "node")
     texts = cut(docs.select(_row(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text")).join(involved, "row")
@@ -260,16 +262,42 @@ def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shing
     def fits(x: str, y: str) -> Column:
         return F.least(x, y) / F.greatest(x, y) >= similarity
 
-    stars = cut(met.where((F.col("node") != F.col("lead")) & fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
-    first = cut(verified(stars, texts, shingle, similarity))
-    comp = connected_components(first, "a", "b")
-    left = met.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = left.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    left = cut(left.join(mixed, "key", "left_semi"))
+    stars = (met.where((F.col("node") != F.col("lead")) & fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("node").alias("b"))
+             .agg(F.count("*").alias("shared")))
+    first = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b")
+    done, found = None, None
+    for candidates in (lambda comp: first, lambda comp: _apart(stars.select("a", "b"), comp), lambda comp: _cross(met, comp, fits)):
+        comp = connected_components(found, "a", "b") if found is not None else None
+        pairs = candidates(comp)
+        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            new = verified(pairs, texts, shingle, similarity)
+            found = cut(new if found is None else found.unionByName(new))
+            done = pairs if done is None else done.unionByName(pairs)
+    return nodes.sparkSession.createDataFrame([], "a long, b long") if found is None else found
+
+
+def _component(rows: DataFrame, node: str, comp: DataFrame | None, name: str) -> DataFrame:
+    """``rows`` with the component of a node, by the links so far."""
+    if comp is None:
+        return rows.withColumn(name, F.col(node))
+    known = comp.select(F.col("node").alias("__node"), F.col("component").alias(name))
+    return rows.join(known, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce(name, node)).drop("__node")
+
+
+def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in two components."""
+    return _component(_component(pairs, "a", comp, "c"), "b", comp, "d").where("c <> d").select("a", "b")
+
+
+def _cross(met: DataFrame, comp: DataFrame | None, fits) -> DataFrame:
+    """All pairs under one key whose ends are in two components and whose sizes fit."""
+    held = _component(met.select("key", "node", "n"), "node", comp, "component")
+    mixed = held.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
+    left = cut(held.join(mixed, "key", "left_semi"))
     other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    cross = left.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & fits("n", "m"))
-    second = cut(cross.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return first.unionByName(verified(second, texts, shingle, similarity))
+    pairs = left.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & fits("n", "m"))
+    return pairs.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
@@ -278,8 +306,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     With ``similarity``, documents whose sets of shingles have this Jaccard
     similarity at least are linked: every link is verified, and the candidates
-    miss a pair at 0.8 with a probability of 0.003, closer ones less often;
-    below about 0.75 the bands would find too few. Without it, documents whose fingerprints differ in two bits at most are linked;
+    miss a pair at 0.8 with a probability of 0.002, closer ones less often;
+    below about 0.7 the bands would find too few. Without it, documents whose
+    fingerprints differ in two bits at most are linked;
     ``component_id`` is the smallest id reachable, the own one included. Equal
     fingerprints are collapsed first, so a group of exact copies is one node
     with its members. Null or empty texts link with one another. Rows with a
