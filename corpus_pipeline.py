@@ -3,7 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows that the stage
 before kept, and returns a DataFrame that is written as Parquet and read again
 as the next stage's ``docs``. All stages but the last return the columns of
-``documents``. Columns of ``docs`` beyond those are carried along.
+``documents``. Columns of ``docs`` beyond those are carried along, whatever
+their names, but for ones that begin with two underscores. Empty tables give
+empty tables; a null text is an empty text.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from braidlog.llm.common import cut, small_batches, work_dir
 from braidlog.llm.queries import good_labels, tokenizer
 
 
-#: Name of the key that joins a stage's decisions with its rows.
-ROW = "__row"
+#: Names of the key that joins a stage's decisions with its rows, and of how often a key is met.
+ROW, N = "__row", "__n"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -27,12 +29,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def once(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keyed ``docs`` joined with ``keys`` ``(ROW, n, ...)``; of the ``n`` rows of a repeated key, one.
+    """Keyed ``docs`` joined with ``keys`` ``(ROW, N, ...)``; of the ``N`` rows of a repeated key, one.
 
     Only the rows of repeated keys are grouped to be told apart.
     """
     met = docs.join(keys, ROW)
-    return met.where("n = 1").unionByName(met.where("n > 1").dropDuplicates([ROW]))
+    return met.where(F.col(N) == 1).unionByName(met.where(F.col(N) > 1).dropDuplicates([ROW]))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     small_batches(spark)
     rows = keyed(docs)
-    judged = quality.select(cut(quality.score(rows, quality.fit(docs, good_labels(spark, sf_dir)), ROW)))
+    judged = quality.resample(rows, good_labels(spark, sf_dir), key_col=ROW)
     return rows.join(judged.where("kept").select(ROW).distinct(), ROW, "left_semi").select(*docs.columns)
 
 
@@ -51,14 +53,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents share stay in the last of them only. A text left without any word goes.
 
     Rows with the same id are one document when its lines are counted, and each
-    keeps its own text without them; rows with a null id lose nothing.
+    keeps its own text without them; rows with a null id lose nothing. A row
+    that loses no line keeps its text as it is.
     """
     small_batches(spark)
-    rows = keyed(docs)
-    kept = linededup.dedup(rows, carry=(ROW,)).where("n_dropped > 0").select(ROW, "kept").dropDuplicates([ROW])
-    out = rows.join(kept, ROW, "left")
-    text = F.coalesce("kept", "text")
-    out = out.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    lines = F.col("__lines")
+    text = F.when(lines["n_dropped"] > 0, lines["kept"]).otherwise(F.col("text"))
+    out = linededup.cleaned(docs).withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
     return out.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
 
 
@@ -73,7 +74,7 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = simhash_dedup.near_duplicates(rows, ROW, similarity=0.8).select(ROW, "component_id")
     of = found.groupBy(ROW, "component_id").agg(F.count("*").alias("n")).join(rows.select(ROW, "doc_id").distinct(), ROW)
     first = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW, "n")).alias("x"))
-    return once(rows, cut(first.select(F.col(f"x.{ROW}").alias(ROW), F.col("x.n").alias("n")))).select(*docs.columns)
+    return once(rows, cut(first.select(F.col(f"x.{ROW}").alias(ROW), F.col("x.n").alias(N)))).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +83,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id have their own copies; of equal rows the copies are summed.
     """
     rows = keyed(docs)
-    taken = cut(mixing.mix(rows, ROW).groupBy(ROW).agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("n")).where("copies > 0"))
-    return once(rows, taken).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = cut(mixing.mix(rows, ROW).groupBy(ROW).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias(N)).where(F.col("__copies") > 0))
+    return once(rows, taken).withColumn(N, F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
