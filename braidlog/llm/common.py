@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that no plan refers to any longer.
+
+    Spark deletes them when the driver collects its garbage, which a driver with
+    memory to spare may not do while a loop of many rounds fills the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of texts small; an already smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -92,6 +103,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         links = cut(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                     .union(low.select("u", F.col("m").alias("v"))).distinct())
         now = _signature(links)
+        tidy(links.sparkSession)
         if now == seen:
             break
         seen = now

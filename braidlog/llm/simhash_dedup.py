@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, cut
+from .common import connected_components, cut, tidy
 
 #: The largest number of differing bits that the keys cover.
 RADIUS = 2
@@ -237,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
 
 def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Verified links ``(a, b)`` that connect the nodes of ``sketches`` at the similarity.
+    """``(node, component)`` of the nodes of ``sketches`` that verified links at the similarity connect; others have no row.
 
     Candidates share a MinHash band or a component of the fingerprints within
     two bits. They are compared in three rounds, each leaving out what the links
@@ -265,16 +265,27 @@ def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shing
     stars = (met.where((F.col("node") != F.col("lead")) & fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("node").alias("b"))
              .agg(F.count("*").alias("shared")))
     first = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b")
-    done, found = None, None
-    for candidates in (lambda comp: first, lambda comp: _apart(stars.select("a", "b"), comp), lambda comp: _cross(met, comp, fits)):
-        comp = connected_components(found, "a", "b") if found is not None else None
-        pairs = candidates(comp)
+    done, comp = None, None
+    for candidates in (lambda: first, lambda: _apart(stars.select("a", "b"), comp), lambda: _cross(met, comp, fits)):
+        pairs = candidates()
         pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if pairs.limit(1).count():
-            new = verified(pairs, texts, shingle, similarity)
-            found = cut(new if found is None else found.unionByName(new))
             done = pairs if done is None else done.unionByName(pairs)
-    return nodes.sparkSession.createDataFrame([], "a long, b long") if found is None else found
+            comp = _joined(comp, cut(verified(pairs, texts, shingle, similarity)))
+        tidy(nodes.sparkSession)
+    return nodes.sparkSession.createDataFrame([], "node long, component long") if comp is None else comp
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after more links: only what they touch is worked out anew."""
+    if not links.limit(1).count():
+        return comp
+    if comp is None:
+        return cut(connected_components(links, "a", "b"))
+    ends = _component(_component(links, "a", comp, "c"), "b", comp, "d").select("c", "d")
+    moved = connected_components(ends, "c", "d").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    every = comp.unionByName(moved.select(F.col("component").alias("node"), "component").join(comp.select("node"), "node", "left_anti"))
+    return cut(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
 def _component(rows: DataFrame, node: str, comp: DataFrame | None, name: str) -> DataFrame:
@@ -317,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if similarity is not None:
         rows = cut(sketches(docs, id_col, text_col, shingle))
         nodes = cut(rows.groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.first("bands").alias("bands")))
-        comp = connected_components(similar(docs, nodes, id_col, text_col, shingle, similarity), "a", "b")
+        comp = similar(docs, nodes, id_col, text_col, shingle, similarity)
         tagged = nodes.join(comp, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
         least = tagged.groupBy("component").agg(F.min("first").alias("component_id"))
         classes = tagged.join(least, "component").select("node", "component_id")
