@@ -240,13 +240,10 @@ def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shing
     """``(node, component)`` of the nodes of ``sketches`` that verified links at the similarity connect; others have no row.
 
     Candidates share a MinHash band or a component of the fingerprints within
-    two bits. They are compared in three rounds, each leaving out what the links
-    so far connect: a node with the smallest holder of most of its keys, so its
-    text moves once; then with the smallest holders of its other keys; then all
-    pairs under a key that still holds two components. So a crowd of near copies
-    gives no pairs by the square, and no candidate that could join two
-    components is left out. Pairs whose sizes rule the similarity out are not
-    compared.
+    two bits. First a node is compared with the smallest holder of most of its
+    keys, so its text moves once. Then the holders of each key that still holds
+    two components are compared in blocks, all pairs of two components. No pair
+    is emitted, and no candidate that could join two components is left out.
     """
     prints = nodes.select("fp").distinct()
     comp = connected_components(links(prints), "a", "b").select(F.col("node").alias("fp"), "component")
@@ -265,17 +262,93 @@ def similar(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shing
     stars = (met.where((F.col("node") != F.col("lead")) & fits("n", "lead_n")).groupBy(F.col("lead").alias("a"), F.col("node").alias("b"))
              .agg(F.count("*").alias("shared")))
     first = stars.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("x")).select("x.a", "b")
-    done, comp = None, None
-    for candidates in (lambda: first, lambda: _apart(stars.select("a", "b"), comp), lambda: _cross(met, comp, fits)):
-        pairs = candidates()
-        pairs = cut(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.limit(1).count():
-            done = pairs if done is None else done.unionByName(pairs)
-            comp = _joined(comp, cut(verified(pairs, texts, shingle, similarity)))
-        tidy(nodes.sparkSession)
+    comp = _joined(None, cut(verified(cut(first), texts, shingle, similarity)))
+    tidy(nodes.sparkSession)
+    held = _component(met.select("key", "node"), "node", comp, "component")
+    mixed = held.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed"), F.count("*").alias("holders")).where("mixed")
+    left = cut(held.join(mixed.select("key", F.ceil(F.col("holders") / F.lit(COMPARED)).cast("int").alias("parts")), "key"))
+    if left.limit(1).count():
+        comp = _joined(comp, cut(met_in_blocks(left, texts, shingle, similarity)))
     return nodes.sparkSession.createDataFrame([], "node long, component long") if comp is None else comp
 
 
+def alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Square matrix: which of the sets of hashes have the Jaccard similarity. Shared hashes are counted in strips of columns."""
+    sizes = np.array([len(x) for x in sets], np.float64)
+    row = np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1)
+    at = number[at]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for low in range(0, int((n > 1).sum()), 4096):
+        x, y = np.searchsorted(at, [low, low + 4096])
+        strip = np.zeros((len(sets), 4096), np.float32)
+        strip[row[x:y], at[x:y] - low] = 1
+        both += strip @ strip.T
+    return (both > 0) & (both >= similarity * (sizes[:, None] + sizes[None, :] - both))
+
+
+def met_in_blocks(held: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect what holders of a key link to, over all pairs of two components.
+
+    ``held`` is ``(key, node, component, parts)``, the holders of a key dealt to
+    ``parts`` blocks of about ``COMPARED``. A text goes to each pair of blocks its
+    block is part of; a pair that also holds a smaller key is compared there. No
+    pair leaves a task: each linked node is returned with the smallest it reaches.
+    """
+    keys = held.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = (held.join(keys, "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "keys")
+             .join(texts, "node"))
+
+    def compare(rows: list) -> list[tuple[int, int]]:
+        key, i, j = rows[0][:3]
+        own, node, part = (np.array([r[k] for r in rows]) for k in (3, 4, 5))
+        if (part == part[0]).all():
+            return []
+        apart = part[:, None] != part[None, :]
+        if i != j:
+            apart &= own[:, None] != own[None, :]
+        earlier = [x[x < key] for x in (np.asarray(r[6]) for r in rows)]
+        ids, at = np.unique(np.concatenate(earlier), return_inverse=True)
+        member = np.zeros((len(rows), len(ids)), np.float32)
+        member[np.repeat(np.arange(len(rows)), [len(x) for x in earlier]), at] = 1
+        apart &= member @ member.T == 0
+        if not apart.any():
+            return []
+        near = apart & alike([np.unique(word_shingle_hashes(r[7], shingle)) for r in rows], similarity)
+        hit = np.flatnonzero(near.any(1))
+        near, label = near[np.ix_(hit, hit)], node[hit]
+        while len(hit):
+            new = np.minimum(label, np.where(near, label[None, :], np.iinfo(np.int64).max).min(1))
+            if (new == label).all():
+                break
+            label = new
+        return [(x, y) for x, y in zip(label.tolist(), node[hit].tolist()) if x != y]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Runs of one (key, i, j), which may reach over batches."""
+        rows: list = []
+        for b in batches:
+            found = []
+            for r in b.itertuples(index=False, name=None):
+                if rows and rows[0][:3] != r[:3]:
+                    found += compare(rows)
+                    rows = []
+                rows.append(r)
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        if rows:
+            yield pd.DataFrame(compare(rows), columns=["a", "b"], dtype=np.int64)
+
+    order = ["key", "i", "j"]
+    dealt = dealt.select(*order, "own", "node", "component", "keys", "text")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "a long, b long")
+
+
 def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
     """The components after more links: only what they touch is worked out anew."""
     if not links.limit(1).count():
@@ -296,21 +369,6 @@ def _component(rows: DataFrame, node: str, comp: DataFrame | None, name: str) ->
     return rows.join(known, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce(name, node)).drop("__node")
 
 
-def _apart(pairs: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The pairs whose ends are in two components."""
-    return _component(_component(pairs, "a", comp, "c"), "b", comp, "d").where("c <> d").select("a", "b")
-
-
-def _cross(met: DataFrame, comp: DataFrame | None, fits) -> DataFrame:
-    """All pairs under one key whose ends are in two components and whose sizes fit."""
-    held = _component(met.select("key", "node", "n"), "node", comp, "component")
-    mixed = held.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    left = cut(held.join(mixed, "key", "left_semi"))
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("d"))
-    pairs = left.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d")) & fits("n", "m"))
-    return pairs.select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5,
                     similarity: float | None = None) -> DataFrame:
     """``(id_col, fp long, component_id)``, one row per row of ``docs``.

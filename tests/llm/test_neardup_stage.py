@@ -62,3 +62,19 @@ def test_stage_keeps_one_of_each_group_at_jaccard(spark):
 def test_few_rows(spark, n):
     df = spark.createDataFrame([(1, "a b c d e f g")][:n], "doc_id long, text string")
     assert len(simhash_dedup.near_duplicates(df, similarity=0.8).collect()) == n
+
+
+def test_a_crowd_of_edited_copies_in_blocks(spark, monkeypatch):
+    """Copies of one text of which most are not near the smallest: all pairs under a key, over several blocks."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for k in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash_dedup, "COMPARED", 16)
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(df, similarity=0.8).collect()}
+    assert got == smallest(texts, 0.8) and 1 < len(set(got.values())) < len(texts)
