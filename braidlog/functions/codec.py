@@ -531,3 +531,11 @@ def undo_deltas(df: DataFrame, by: list[str], order: str, col: str = "delta") ->
 def uleb128_length(n: Column) -> Column:
     """Bytes of an unsigned number: seven bits each."""
     return F.greatest(F.ceil(F.length(F.bin(n)) / 7), F.lit(1)).cast("bigint")
+
+
+def uleb128_column(n: Column) -> Column:
+    """The bytes of unsigned numbers below 2**63, in built-in arithmetic."""
+    width = uleb128_length(n).cast("int")
+    digit = lambda k: F.shiftrightunsigned(n, 7 * k).bitwiseAND(F.lit(127).cast("long"))
+    parts = [F.when(F.lit(k) < width, F.lpad(F.hex(digit(k) + F.when(F.lit(k) < width - 1, 128).otherwise(0)), 2, "0")).otherwise("") for k in range(9)]
+    return F.unhex(F.concat(*parts))

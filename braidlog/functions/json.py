@@ -313,10 +313,10 @@ def infer(x: Any) -> tuple[str, Any]:
     return ("double", x) if isinstance(x, float) else ("str", x)
 
 
-def tree_ops(doc: Any, actor: str, start: int = 1) -> list[dict]:
-    """The operations that write a JSON object into an empty document; other top-level values write nothing."""
+def tree_ops(doc: Any, actor: str, start: int = 1, root: tuple | None = None) -> list[dict]:
+    """The operations that write a JSON object or list into an empty container, by default the root; scalars write nothing."""
     out, counter = [], start
-    stack: list[tuple] = [(None, doc)] if isinstance(doc, dict) else []
+    stack: list[tuple] = [(root, doc)] if isinstance(doc, dict if root is None else (dict, list)) else []
     while stack:
         obj, node = stack.pop()
         last = None
@@ -334,23 +334,62 @@ def tree_ops(doc: Any, actor: str, start: int = 1) -> list[dict]:
     return out
 
 
+_FIELDS = {"bool": "b", "int": "i", "uint": "u", "double": "d", "str": "s", "obj": "obj"}
+_COLUMNS = ["doc_id", "op", "obj", "key_str", "key_idx", "action", "value", "pred", "after"]
+
+
+def _log_row(doc: Any, o: dict) -> tuple:
+    from decimal import Decimal
+
+    pair = lambda x: None if x is None else {"counter": x[0], "actor": x[1]}
+    tag, x = o["value"]
+    v = dict.fromkeys(("b", "i", "u", "d", "s", "bin", "obj")) | {"tag": tag}
+    if tag in _FIELDS:
+        v[_FIELDS[tag]] = Decimal(x) if tag == "uint" else x
+    return (doc, pair(o["op"]), pair(o["obj"]), o["key_str"], o["key_idx"], o["action"], v, [pair(p) for p in o["pred"]], pair(o["after"]))
+
+
+def nodes(col: str) -> Column:
+    """How many operations a JSON text below a key takes: one for itself and one for each member of its containers."""
+    @F.pandas_udf("long")
+    def run(x: pd.Series) -> pd.Series:
+        def size(t: Any) -> int:
+            n, stack = 0, [t]
+            while stack:
+                t = stack.pop()
+                n += 1
+                stack.extend(t.values() if isinstance(t, dict) else t if isinstance(t, list) else ())
+            return n
+
+        return x.map(lambda t: 0 if t is None else size(json.loads(t)), na_action=None).astype("int64")
+
+    return run(F.col(col))
+
+
+def subtrees(commands: DataFrame) -> DataFrame:
+    """Operations that set ``key_str`` of ``obj`` to the tree ``json``, from id ``op`` on; ``pred`` is superseded."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for doc, op, obj, key, pred, text in b.itertuples(index=False, name=None):
+                if text is None:
+                    continue
+                t, own = json.loads(text), (int(op["counter"]), op["actor"])
+                kind = "map" if isinstance(t, dict) else "list" if isinstance(t, list) else None
+                first = {"op": own, "obj": (obj["counter"], obj["actor"]) if obj["counter"] else None, "key_str": key, "key_idx": None, "action": "make_object" if kind else "put",
+                         "value": ("obj", kind) if kind else infer(t), "pred": [(p["counter"], p["actor"]) for p in pred], "after": None}
+                rows += [_log_row(doc, o) for o in (first, *(tree_ops(t, own[1], own[0] + 1, own) if kind else []))]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    return commands.select("doc_id", "op", "obj", "key_str", "pred", "json").mapInPandas(run, OPS)
+
+
 def import_json(docs: DataFrame, actor: str) -> DataFrame:
     """``(doc_id, json)`` as operation logs; a null text has no operations."""
     def run(batches):
-        from decimal import Decimal
-
-        pair = lambda x: None if x is None else {"counter": x[0], "actor": x[1]}
-        field = {"bool": "b", "int": "i", "uint": "u", "double": "d", "str": "s", "obj": "obj"}
         for b in batches:
-            rows = []
-            for doc, text in zip(b["doc_id"], b["json"]):
-                for o in tree_ops(json.loads(text), actor) if text is not None else []:
-                    tag, x = o["value"]
-                    v = dict.fromkeys(("b", "i", "u", "d", "s", "bin", "obj")) | {"tag": tag}
-                    if tag in field:
-                        v[field[tag]] = Decimal(x) if tag == "uint" else x
-                    rows.append((doc, pair(o["op"]), pair(o["obj"]), o["key_str"], o["key_idx"], o["action"], v, [], pair(o["after"])))
-            yield pd.DataFrame(rows, columns=["doc_id", "op", "obj", "key_str", "key_idx", "action", "value", "pred", "after"])
+            rows = [_log_row(doc, o) for doc, text in zip(b["doc_id"], b["json"]) if text is not None for o in tree_ops(json.loads(text), actor)]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     return docs.select("doc_id", "json").mapInPandas(run, OPS)
 
@@ -378,21 +417,108 @@ def from_tagged(x: Any) -> tuple[str, Any]:
     return infer(x)
 
 
+def op_id_json(op: Column) -> Column:
+    """``{"counter", "actor"}``; null stays null."""
+    return F.when(op.isNotNull(), F.to_json(F.struct(op["counter"].alias("counter"), op["actor"].alias("actor"))))
+
+
+def obj_id_json(obj: Column) -> Column:
+    """An object's id as JSON; the root is ``"root"``."""
+    return F.when(obj.isNull() | (obj["counter"] == 0), F.lit('"root"')).otherwise(op_id_json(obj))
+
+
+def text_json(s: Column) -> Column:
+    """A string as JSON text; null is ``null``."""
+    whole = F.to_json(F.struct(s.alias("x")))
+    return F.when(s.isNull(), "null").otherwise(F.substring(whole, 6, F.length(whole) - 6))
+
+
+def _object(**members: Column) -> Column:
+    """A JSON object of members that are JSON texts; null members are left out."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in members.items()]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def change_json(actor: Column, seq: Column, start_op: Column, ts_ms: Column, n_ops: Column, deps: Column, message: Column | None = None) -> Column:
+    """A change with its operations as a count; a message only where there is one."""
+    own = {"actor": text_json(actor), "seq": seq.cast("string"), "start_op": start_op.cast("string"), "timestamp": ts_ms.cast("string"),
+           "operations": n_ops.cast("string"), "deps": F.to_json(deps)}
+    return _object(**own, **({} if message is None else {"message": F.when(message.isNotNull(), text_json(message))}))
+
+
+def patch_json(p: DataFrame) -> Column:
+    """A row of ``patches`` as ``{"obj", "key", "action": {"type", ...}}``."""
+    key = F.when(p["key_str"].isNotNull(), text_json(p["key_str"])).otherwise(F.coalesce(p["index"], F.lit(0)).cast("string"))
+    index, count = p["index"].cast("string"), p["count"].cast("string")
+    kind = {"put": {"value": tagged_json(p["value"]), "conflict": F.lit("false")}, "insert": {"index": index, "value": tagged_json(p["value"])},
+            "delete": {"index": index, "count": count}, "increment": {"delta": p["value"]["i"].cast("string")},
+            "splice_text": {"index": index, "delete_count": count, "text": text_json(p["text"])}}
+    action = F.lit(None).cast("string")
+    for name, members in kind.items():
+        action = F.when(p["action"] == name, _object(type=F.lit(f'"{name}"'), **members)).otherwise(action)
+    return _object(obj=obj_id_json(p["obj"]), key=key, action=action)
+
+
+def mark_json(start: Column, end: Column, name: Column, v: Column) -> Column:
+    return _object(start=start.cast("string"), end=end.cast("string"), name=text_json(name), value=tagged_json(v))
+
+
+def cursor_json(cursor: Column) -> Column:
+    return _object(position=op_id_json(cursor))
+
+
+def hex_to_bytes(text: Column) -> Column:
+    """Bytes of hexadecimal digits; an odd number of digits or another character is an error."""
+    sound = text.rlike("^([0-9A-Fa-f]{2})*$")
+    return F.when(text.isNotNull(), F.when(sound, F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("not hexadecimal: "), text)).cast("binary")))
+
+
+def export_json(ops: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, json)`` of whole documents: maps and tables as objects, lists as arrays, text as strings.
+
+    ``ops`` may be a log cut at heads or a clock: children and kinds are then
+    those of that time. ``shown`` is ``sequence.visible(ops)`` if it is known.
+    """
+    from ..operators import sequence, state
+
+    ops = cut(ops)
+    won = state.winners(state.entries(ops)).select("doc_id", "obj", "key_str", F.lit(None).cast("bigint").alias("idx"), "op", "value")
+    shown = sequence.visible(ops) if shown is None else shown
+    elems = shown.select("doc_id", "obj", F.lit(None).cast("string").alias("key_str"), "idx", F.col("at").alias("op"), "value")
+    kinds = state.objects(ops).select("doc_id", "obj", "kind").distinct()
+    return _folded(won.unionByName(elems), kinds)
+
+
 def export_maps(won: DataFrame) -> DataFrame:
-    """``(doc_id, json)`` of documents made of maps, from their winners.
+    """``(doc_id, json)`` of documents made of maps, from their winners."""
+    return _folded(won.select("doc_id", "obj", "key_str", F.lit(None).cast("bigint").alias("idx"), "op", "value"), None)
+
+
+def _folded(members: DataFrame, kinds: DataFrame | None) -> DataFrame:
+    """``(doc_id, json)`` of the roots, from members ``(doc_id, obj, key_str or idx, op, value)`` of all objects.
 
     Children are folded into their parents one level a round until a round
-    changes nothing, so any depth is whole; one map is one group. Each round is
+    changes nothing, so any depth is whole; one object is one group. Each round is
     checkpointed to the shared folder.
     """
-    node = won.select("doc_id", "obj", "key_str", "op", "value", F.when(F.col("value.tag") != "obj", scalar_json(F.col("value"))).alias("json"))
+    if kinds is None:
+        kinds = members.where("value.tag = 'obj'").select("doc_id", F.col("op").alias("obj"), F.col("value.obj").alias("kind")).unionByName(members.select("doc_id", "obj", F.lit("map").alias("kind")).where("obj.counter = 0").distinct())
+    empty = F.when(F.col("kind") == "list", "[]").when(F.col("kind") == "text", '""').otherwise("{}")
+    node = members.select("doc_id", "obj", "key_str", "idx", "op", "value", F.when(F.col("value.tag") != "obj", scalar_json(F.col("value"))).alias("json"))
 
     def fold(rows: DataFrame) -> DataFrame:
-        key = F.expr("substring(to_json(struct(key_str as k)), 6, length(to_json(struct(key_str as k))) - 6)")
-        return rows.groupBy("doc_id", "obj").agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key_str", F.concat(key, F.lit(":"), F.col("json")).alias("m")))), lambda x: x["m"]), ","), F.lit("}")).alias("folded"))
-
-    objects = won.where("value.tag = 'obj'").count() if "obj" in won.columns else 0
-    node = cut(node.withColumn("json", F.coalesce("json", F.lit("{}")))) if objects else node
+        """Each object of ``kinds`` as JSON, from its members as they are now."""
+        key = text_json(F.col("key_str"))
+        m = F.struct("key_str", "idx", F.when(F.col("key_str").isNotNull(), F.concat(key, F.lit(":"), F.col("json"))).otherwise(F.col("json")).alias("m"), F.col("value.s").alias("s"))
+        got = rows.groupBy("doc_id", "obj").agg(F.array_sort(F.collect_list(m)).alias("x"))
+        joined = F.array_join(F.transform("x", lambda x: x["m"]), ",")
+        whole = F.when(F.col("kind") == "list", F.concat(F.lit("["), joined, F.lit("]"))).when(
+            F.col("kind") == "text", text_json(F.array_join(F.transform("x", lambda x: F.coalesce(x["s"], F.lit(""))), ""))).otherwise(F.concat(F.lit("{"), joined, F.lit("}")))
+        return kinds.join(got, ["doc_id", "obj"], "left").select("doc_id", "obj", F.when(F.col("x").isNull(), empty).otherwise(whole).alias("folded"))
+
+    objects = members.where("value.tag = 'obj'").count()
+    if objects:
+        node = cut(node.withColumn("json", F.coalesce("json", F.lit("{}"))))
     # a level holds an object at least, so there are no more rounds than objects
     for _ in range(objects):
         done = fold(node).select("doc_id", F.col("obj").alias("op"), "folded")
@@ -402,5 +528,4 @@ def export_maps(won: DataFrame) -> DataFrame:
         node = node.drop("changed")
         if ended:
             break
-    root = fold(node.where("obj.counter = 0"))
-    return root.select("doc_id", F.col("folded").alias("json"))
+    return fold(node.where("obj.counter = 0")).where("obj.counter = 0").select("doc_id", F.col("folded").alias("json"))

@@ -39,31 +39,70 @@ def is_linear(changes: DataFrame) -> DataFrame:
     return per.groupBy("doc_id").agg(F.min("ok").alias("linear"))
 
 
-def ancestors(changes: DataFrame, of: DataFrame, cut, reverse: bool = False, max_rounds: int = 64) -> DataFrame:
+def ancestors(changes: DataFrame, of: DataFrame, cut, reverse: bool = False) -> DataFrame:
     """``of`` and all that it depends on (or, reversed, all that depends on it).
 
-    Every round follows paths twice as long: reach joins itself, so a chain of n
-    changes takes log2(n) rounds. ``cut`` materialises a round in shared storage.
-    Linear histories have a faster way: ``visible_by_clock``.
+    Where each actor's changes form one chain, a closure is a bound of ``seq``
+    for each actor. A round moves the bounds by all dependencies below them at
+    once, so rounds count the changes of actor on a path, not its length, and a
+    round holds one row per actor. Other documents are searched by frontiers.
+    ``cut`` materialises a round in shared storage.
     """
-    e = edges(changes).select("doc_id", F.col("dep" if reverse else "id").alias("a"), F.col("id" if reverse else "dep").alias("b"))
-    found = cut(of.select("doc_id", "id").distinct())
-    n, step = found.count(), cut(e.distinct())
-    for _ in range(max_rounds):
-        more = found.select("doc_id", F.col("id").alias("a")).join(step, ["doc_id", "a"]).select("doc_id", F.col("b").alias("id"))
-        found = cut(found.union(more).distinct())
-        now = found.count()
-        if now == n:
+    of = of.select("doc_id", "id").distinct()
+    own = changes.select("doc_id", "id", "actor", "seq")
+    named = edges(changes).join(own, ["doc_id", "id"])
+    to = own.toDF("doc_id", "dep", "dep_actor", "dep_seq")
+    links = cut(named.join(to, ["doc_id", "dep"]).select("doc_id", "id", "dep", "actor", "seq", "dep_actor", "dep_seq"))
+    chained = is_chained(own, links)
+    bounded = _bounds(own, links.join(chained, "doc_id", "left_semi"), of.join(chained, "doc_id", "left_semi"), cut, reverse)
+    rest = of.join(chained, "doc_id", "left_anti")
+    return bounded.unionByName(_search(links.join(chained, "doc_id", "left_anti"), rest, cut, reverse).join(own.select("doc_id", "id"), ["doc_id", "id"], "left_semi"))
+
+
+def is_chained(changes: DataFrame, links: DataFrame) -> DataFrame:
+    """Documents in which every actor's changes number 1..n, each depending on the one before."""
+    per = changes.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("actor").alias("actors"), F.count_distinct("actor", "seq").alias("m"), F.min("seq").alias("low"))
+    steps = links.where((F.col("actor") == F.col("dep_actor")) & (F.col("seq") == F.col("dep_seq") + 1)).groupBy("doc_id").agg(F.count_distinct("id").alias("steps"))
+    top = changes.groupBy("doc_id", "actor").agg(F.max("seq").alias("top")).groupBy("doc_id").agg(F.sum("top").alias("top"))
+    whole = (F.col("n") == F.col("m")) & (F.col("top") == F.col("n")) & (F.col("low") == 1) & (F.coalesce("steps", F.lit(0)) == F.col("n") - F.col("actors"))
+    return per.join(steps, "doc_id", "left").join(top, "doc_id").where(whole).select("doc_id")
+
+
+def _bounds(own: DataFrame, links: DataFrame, of: DataFrame, cut, reverse: bool) -> DataFrame:
+    pick = F.min if reverse else F.max
+    sees = (F.col("dep_seq") >= F.col("bound")) if reverse else (F.col("seq") <= F.col("bound"))
+    via, to, to_seq = ("dep_actor", "actor", "seq") if reverse else ("actor", "dep_actor", "dep_seq")
+    bounds = cut(own.join(of, ["doc_id", "id"], "left_semi").groupBy("doc_id", "actor").agg(pick("seq").alias("bound")))
+    while True:
+        at = bounds.withColumnRenamed("actor", via)
+        more = links.join(at, ["doc_id", via]).where(sees).select("doc_id", F.col(to).alias("actor"), F.col(to_seq).alias("bound"))
+        new = cut(bounds.unionByName(more).groupBy("doc_id", "actor").agg(pick("bound").alias("bound")))
+        if not new.join(bounds, ["doc_id", "actor", "bound"], "left_anti").limit(1).count():
             break
-        n = now
-        ahead = step.select("doc_id", F.col("a").alias("x"), F.col("b").alias("a"))
-        step = cut(step.union(ahead.join(step, ["doc_id", "a"]).select("doc_id", F.col("x").alias("a"), "b")).distinct())
-    return found.join(changes.select("doc_id", "id"), ["doc_id", "id"], "left_semi")
+        bounds = new
+    seen = (F.col("seq") >= F.col("bound")) if reverse else (F.col("seq") <= F.col("bound"))
+    return own.join(bounds, ["doc_id", "actor"]).where(seen).select("doc_id", "id")
 
 
-def clock_of(changes: DataFrame, at: DataFrame, direct: DataFrame | None = None) -> DataFrame:
-    """The per-actor clock of a set of changes ``(doc_id, id)``."""
-    return clock(changes.join(at.select("doc_id", "id"), ["doc_id", "id"], "left_semi"))
+def _search(links: DataFrame, of: DataFrame, cut, reverse: bool) -> DataFrame:
+    a, b = ("dep", "id") if reverse else ("id", "dep")
+    step = links.select("doc_id", F.col(a).alias("a"), F.col(b).alias("b"))
+    found = front = cut(of)
+    while front.limit(1).count():
+        more = front.select("doc_id", F.col("id").alias("a")).join(step, ["doc_id", "a"]).select("doc_id", F.col("b").alias("id")).distinct()
+        front = cut(more.join(found, ["doc_id", "id"], "left_anti"))
+        found = cut(found.unionByName(front))
+    return found
+
+
+def visible_at_heads(ops: DataFrame, changes: DataFrame, heads: DataFrame, cut, change: str = "change") -> DataFrame:
+    """Operations of the changes that ``heads`` ``(doc_id, id)`` see, themselves included; no heads, nothing.
+
+    ``change`` names the column of ``ops`` that holds the id of its change. Every
+    state plan composes with the result: get, keys, text, marks, export at heads.
+    """
+    seen = ancestors(changes, heads, cut).withColumnRenamed("id", change)
+    return ops.join(seen, ["doc_id", change], "left_semi")
 
 
 def visible_by_clock(changes: DataFrame, at: DataFrame) -> DataFrame:

@@ -27,9 +27,13 @@ def missing_changes(mine: DataFrame, theirs: DataFrame) -> DataFrame:
     return theirs.join(have, ["doc_id", "actor"], "left").where("max_seq is null or seq > max_seq").drop("max_seq")
 
 
-def fork(log: DataFrame, branch: str) -> DataFrame:
-    """A branch shares the immutable log; only what it writes later differs."""
-    return log.withColumn("branch", F.lit(branch))
+def fork(log: DataFrame, actors: list[str]) -> DataFrame:
+    """A branch for each actor: the immutable log is shared, and each writes under its own name.
+
+    Returns the log once per branch with ``branch``; writing to branches and
+    merging them again is one plan over all of them.
+    """
+    return log.withColumn("branch", F.explode(F.array(*map(F.lit, actors))))
 
 
 def visible_at(ops: DataFrame, clock: DataFrame) -> DataFrame:

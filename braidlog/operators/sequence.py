@@ -77,18 +77,19 @@ def assigned(ops: DataFrame) -> DataFrame:
     """The value that the largest ``set`` gives each element, whatever arrived last."""
     sets = ops.where(F.col("action").isin("put", "make_object") & F.col("key_str").isNull())
     return (sets.select("doc_id", F.explode("pred").alias("elem"), "op", "value").groupBy("doc_id", "elem")
-            .agg(F.max_by("value", "op").alias("new")))
+            .agg(F.max_by("value", "op").alias("new"), F.max("op").alias("set_by")))
 
 
 def visible(ops: DataFrame, ordered: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, obj, elem, value, pos, idx)``: elements that no one deleted, with their visible index.
+    """``(doc_id, obj, elem, at, value, pos, idx)``: elements that no one deleted, with their visible index.
 
-    A delete wins over a concurrent set.
+    ``at`` is the operation that gave the value, the id of an object that it
+    made. A delete wins over a concurrent set.
     """
     live = (ordered if ordered is not None else elements(ops)).join(deleted(ops), ["doc_id", "elem"], "left_anti")
     live = live.join(assigned(ops), ["doc_id", "elem"], "left").withColumn("value", F.coalesce("new", "value"))
     idx = F.row_number().over(Window.partitionBy(*OBJ).orderBy("pos")) - 1
-    return live.select(*OBJ, "elem", "value", "pos", idx.cast("long").alias("idx"))
+    return live.select(*OBJ, "elem", F.coalesce("set_by", "elem").alias("at"), "value", "pos", idx.cast("long").alias("idx"))
 
 
 def text(shown: DataFrame) -> DataFrame:

@@ -82,20 +82,31 @@ def objects(ops: DataFrame) -> DataFrame:
     return roots.unionByName(made.select("doc_id", F.col("op").alias("obj"), F.col("value")["obj"].alias("kind")))
 
 
-def get_path(live: DataFrame, path: list[str | Column]) -> DataFrame:
-    """The winner at the end of a path of keys from the root: one join per further step.
+def get_path(live: DataFrame, path: list[str | int | Column], shown: DataFrame | None = None) -> DataFrame:
+    """The winner at the end of a path from the root: one join per further step.
 
+    Integers are visible indices of lists, whose elements ``shown`` holds.
     Documents in which a step is missing or is a scalar have no row.
     """
     won = winners(live)
     at = won.where((F.col("obj.counter") == 0) & (F.col("key_str") == path[0])).select("doc_id", "op", "value")
     for step in path[1:]:
-        child = won.where(F.col("key_str") == step).select("doc_id", F.col("obj").alias("parent"), F.col("op").alias("o"), F.col("value").alias("v"))
+        if isinstance(step, int):
+            inner = shown.where(F.col("idx") == step).select("doc_id", "obj", F.col("at").alias("op"), "value")
+        else:
+            inner = won.where(F.col("key_str") == step)
+        child = inner.select("doc_id", F.col("obj").alias("parent"), F.col("op").alias("o"), F.col("value").alias("v"))
         at = (at.where(F.col("value")["tag"] == "obj").withColumnRenamed("op", "parent").drop("value")
               .join(child, ["doc_id", "parent"]).select("doc_id", F.col("o").alias("op"), F.col("v").alias("value")))
     return at
 
 
+def get_obj_id(live: DataFrame, path: list[str | int | Column], shown: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, obj, kind)``: the object at the end of a path; no row where a scalar stands there."""
+    found = get_path(live, path, shown).where(F.col("value")["tag"] == "obj")
+    return found.select("doc_id", F.col("op").alias("obj"), F.col("value")["obj"].alias("kind"))
+
+
 def clock(ops: DataFrame) -> DataFrame:
     return ops.groupBy("doc_id", "op.actor").agg(F.max("op.counter").alias("max_counter"))
 
@@ -105,12 +116,20 @@ def next_counter(ops: DataFrame) -> DataFrame:
 
 
 def actor_table(ops: DataFrame) -> DataFrame:
-    """Distinct actors of each document over ids, objects, origins and predecessors, in order of first use."""
+    """Distinct actors of each document over ids, objects, origins and predecessors, with the counter of their first use."""
     ids = F.concat(F.array("op", "obj", "after"), F.coalesce("pred", F.array().cast(ops.schema["pred"].dataType)))
     seen = ops.select("doc_id", F.col("op.counter").alias("at"), F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("x"))
     return seen.groupBy("doc_id", "x.actor").agg(F.min("at").alias("first"))
 
 
+def actor_places(ops: DataFrame, local: str) -> DataFrame:
+    """``actor_table`` with each actor's ``place``: ``local`` first, the others by first use, then by name."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("doc_id").orderBy(F.col("actor") != local, "first", "actor")
+    return actor_table(ops).withColumn("place", (F.row_number().over(order) - 1).cast("bigint"))
+
+
 def with_pred(commands: DataFrame, live: DataFrame) -> DataFrame:
     """Commands ``(doc_id, obj, key_str, ...)`` with the ids of the live entries at their key as ``pred``."""
     at = live.groupBy(*KEY).agg(F.sort_array(F.collect_list("op")).alias("pred"))
