@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, cut
 
 #: Fixed value: words of the scan, before A-Z are lower-cased.
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -76,18 +76,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     share an id with another text are told apart by the text's hash.
 
     The join is a broadcast of the templates' k-grams (fixed, a few hundred
-    rows) and is verified word by word. Only votes are shuffled, by document.
+    rows) and is verified word by word. Texts are read and cut into words once;
+    only votes are shuffled, by document.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    words = F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))
-    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)).alias("w"))
     low = lambda c: F.translate(c, UPPER, LOWER)
-    grams = (src.select("id", "h", words.alias("w")).select("id", "h", F.posexplode(pairs).alias("p", "g"))
-             .select("id", "h", "p", F.col("g")["a"].alias("a"), F.col("g")["b"].alias("b")).where("b is not null")
-             .withColumn("gram", F.xxhash64(F.lower("a"), F.lower("b"))))
-    known = templates(docs.sparkSession, [*phrases, *more], notices, len(phrases))
-    votes = (grams.join(F.broadcast(known), "gram").where((low(F.col("a")) == F.col("w1")) & (low(F.col("b")) == F.col("w2")))
+    pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
+    # the first entry of each array is no k-gram: it carries the number of words
+    entries = F.concat(F.array(F.lit(None).cast("struct<a:string,b:string>")), pairs)
+    grams = (src.select("id", "h", F.size("w").cast("long").alias("n_words"), F.posexplode(entries).alias("at", "g"))
+             .select("id", "h", "n_words", (F.col("at") - 1).alias("p"), F.col("g")["a"].alias("a"), F.col("g")["b"].alias("b")).where("p < 0 or b is not null")
+             .withColumn("key", F.when(F.col("p") >= 0, F.xxhash64(F.lower("a"), F.lower("b")))))
+    known = F.broadcast(templates(docs.sparkSession, [*phrases, *more], notices, len(phrases)))
+    same = (F.col("key") == F.col("gram")) & (low(F.col("a")) == F.col("w1")) & (low(F.col("b")) == F.col("w2"))
+    hits = cut(grams.join(known, same, "left").where("p < 0 or template is not null").drop("a", "b", "key", "gram", "w1", "w2"))
+    votes = (hits.where("p >= 0")
              .groupBy("id", "h", "template", "label", "exact", "base", "grams", "n_template", (F.col("p") - F.col("t")).alias("diagonal"))
              .agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("mask"), F.min("p").alias("first"), (F.max("p") + K - 1).alias("last")))
     near = Window.partitionBy("id", "h", "template").orderBy("diagonal")
@@ -106,7 +110,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
                    F.struct(F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "template", "label", "base", "coverage"))
     per_doc = spans.groupBy("id", "h").agg(F.sort_array(F.collect_list(found)).alias("spans"), F.max("coverage").alias("score"))
     per_doc = per_doc.select(F.col("id").alias("i"), F.col("h").alias("j"), "spans", "score")
-    counted = src.select("id", "h", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    counted = hits.where("p < 0").select("id", "h", "n_words")
     none = F.array().cast(per_doc.schema["spans"].dataType)
     return (counted.join(per_doc, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("j")), "left")
             .select(F.col("id").alias(id_col), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("score", F.lit(0.0)).alias("score")))
@@ -119,3 +123,36 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
     return scanned.select(id_col, "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
                           F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), "score")
+
+
+def _rows() -> str:
+    """The k-grams of all templates as SQL rows (template, label, exact, base, grams, n_template, t, w1, w2)."""
+    out = []
+    for n, (phrase, label) in enumerate([*PHRASES, *MORE_PHRASES, *NOTICES]):
+        words, exact = phrase.split(), n < len(PHRASES) + len(MORE_PHRASES)
+        out += [f"({n}, '{label}', {exact}, {n < len(PHRASES)}, {len(words) - 1}, {len(words)}, {t}, '{words[t]}', '{words[t + 1]}')" for t in range(len(words) - 1)]
+    return ", ".join(out)
+
+
+#: The same digests in DuckDB.
+SQL = rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+t as (select * from (values {_rows()}) t(template, label, exact, base, grams, n_template, t, w1, w2)),
+g as (select doc_id, w[i] as a, w[i + 1] as b, i - 1 as p from (select doc_id, w, unnest(range(1, len(w))) as i from w)),
+v as (select doc_id, template, label, exact, base, grams, n_template, p - t as diagonal, bit_or(1::bigint << t) as mask, min(p) as first, max(p) + 1 as last
+  from g join t on a = w1 and b = w2 group by all),
+i as (select *, sum(broken) over (partition by doc_id, template order by diagonal) as island from (
+  select *, case when exact or coalesce(diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal), {SLACK + 1}) > {SLACK} then 1 else 0 end as broken from v)),
+m as (select doc_id, template, label, exact, base, grams, n_template, bit_count(bit_or(mask)) as hit, min(first) as first, max(last) as last,
+    max(struct_pack(hit := bit_count(mask), first := -first, last := last)) as best
+  from i group by doc_id, template, label, exact, base, grams, n_template, island),
+s as (select doc_id, template, label, exact, base, case when last - first + 1 <= {STRETCH} * n_template then first else -best.first end as first,
+    (case when last - first + 1 <= {STRETCH} * n_template then hit else best.hit end)::double / grams as coverage from m),
+d as (select doc_id, max(coverage) as score, count(*) filter (where ok and base)::bigint as n_base, min(first) filter (where ok and base)::bigint as first_word,
+    max(first) filter (where ok and base)::bigint as last_word, string_agg(distinct label, ',' order by label) filter (where ok and base) as base_labels,
+    string_agg(distinct label, ',' order by label) filter (where ok) as labels
+  from (select *, coverage >= case when exact then 1.0 else {COVER} end as ok from s) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+  coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from w left join d using (doc_id)
+"""
