@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_embedding_neardup, op3_license_scan, op4_simhash_neardup, op5_source_mix,
                             op6_fingerprints, op7_quality, op8_line_dedup, op9_url_filter, op10_lm_score)
 }
-SQL: dict[str, str] = {"op5_source_mix": mixing.SQL, "op8_line_dedup": linededup.SQL}
+SQL: dict[str, str] = {"op3_license_scan": licenses.SQL, "op5_source_mix": mixing.SQL, "op8_line_dedup": linededup.SQL, "op9_url_filter": urlfilter.SQL}
