@@ -18,8 +18,8 @@ from braidlog.llm.common import cut, small_batches, work_dir
 from braidlog.llm.queries import good_labels, tokenizer
 
 
-#: Names of the key that joins a stage's decisions with its rows, and of how often a key is met.
-ROW, N = "__row", "__n"
+#: Names of the key that joins a stage's decisions with its rows, of how often a key is met, and of a row carried whole.
+ROW, N, WHOLE = "__row", "__n", "__whole"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -44,9 +44,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     may stay, rows with a null id are judged, and equal rows have equal verdicts.
     """
     small_batches(spark)
-    rows = keyed(docs)
-    judged = quality.resample(rows, good_labels(spark, sf_dir), key_col=ROW)
-    return rows.join(judged.where("kept").select(ROW).distinct(), ROW, "left_semi").select(*docs.columns)
+    rows = keyed(docs).withColumn(WHOLE, F.struct(*docs.columns))
+    judged = quality.resample(rows, good_labels(spark, sf_dir), key_col=ROW, carry=(WHOLE,))
+    return judged.where("kept").select(*(F.col(WHOLE)[c].alias(c) for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
