@@ -15,10 +15,7 @@ distinct bigrams, so a third order is estimated, not measured, to exceed it.
 
 from __future__ import annotations
 
-import fcntl
-import hashlib
 import os
-import shutil
 import tempfile
 import zlib
 from collections.abc import Iterator
@@ -101,47 +98,23 @@ def _small(c: np.ndarray) -> np.ndarray:
 
 
 class _Store:
-    """Files of a model: plain local paths, or any file system that pyarrow reaches."""
+    """Files of a model in a folder that all machines have mounted; other file systems can't be mapped and are refused."""
 
     def __init__(self, uri: str):
-        self.local = uri[5:] if uri.startswith("file:") else uri if "://" not in uri else None
-        if self.local:
-            self.local = "/" + self.local.lstrip("/")
-        else:
-            from pyarrow import fs
-
-            self.fs, self.base = fs.FileSystem.from_uri(uri)
+        if not uri.startswith("file:") and "://" in uri:
+            raise ValueError(f"the model is memory-mapped, so the shared folder must be mounted on all machines: {uri}")
+        self.local = "/" + uri.removeprefix("file:").lstrip("/")
 
     def put(self, name: str, array: np.ndarray) -> None:
         """Write whole or not at all, so a task may be tried again."""
-        if self.local:
-            os.makedirs(self.local, exist_ok=True)
-            fd, part = tempfile.mkstemp(dir=self.local)
-            with os.fdopen(fd, "wb") as f:
-                np.save(f, array)
-            os.replace(part, f"{self.local}/{name}.npy")
-        else:
-            self.fs.create_dir(self.base, recursive=True)
-            with self.fs.open_output_stream(f"{self.base}/{name}.npy") as f:
-                import io
-
-                np.save(whole := io.BytesIO(), array)
-                f.write(whole.getvalue())
+        os.makedirs(self.local, exist_ok=True)
+        fd, part = tempfile.mkstemp(dir=self.local)
+        with os.fdopen(fd, "wb") as f:
+            np.save(f, array)
+        os.replace(part, f"{self.local}/{name}.npy")
 
     def get(self, name: str) -> np.ndarray:
-        """Memory-mapped; a remote file is first copied once to this machine."""
-        if self.local:
-            return np.load(f"{self.local}/{name}.npy", mmap_mode="r")
-        own = os.path.join(tempfile.gettempdir(), "braidlog-lm-" + hashlib.sha256(self.base.encode()).hexdigest()[:16])
-        os.makedirs(own, exist_ok=True)
-        path = f"{own}/{name}.npy"
-        with open(f"{own}/lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(path):
-                with self.fs.open_input_stream(f"{self.base}/{name}.npy") as f, open(path + ".part", "wb") as g:
-                    shutil.copyfileobj(f, g)
-                os.replace(path + ".part", path)
-        return np.load(path, mmap_mode="r")
+        return np.load(f"{self.local}/{name}.npy", mmap_mode="r")
 
 
 @dataclass(frozen=True)
@@ -185,6 +158,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTE
     """
     spark = docs.sparkSession
     path = path or work_dir(spark, "lm")
+    _Store(path)  # refused before any job runs
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     bits = max(0, int(size // shard_bytes)).bit_length()
     blob = "shard int, blob binary"

@@ -135,6 +135,12 @@ def test_embedding_recall_at_the_threshold():
     assert np.mean([np.intersect1d(x, y).size > 0 for x, y in zip(*sets)]) > 0.93
 
 
+def test_language_model_refuses_a_folder_that_is_not_mounted(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="mounted"):
+        lm.train(docs, path="hdfs://there/lm")
+
+
 def test_language_model_sums_to_one_and_equals_counts(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(rng.randrange(30))) for _ in range(80)]
