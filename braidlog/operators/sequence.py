@@ -18,19 +18,18 @@ from ..schema import OP_ID, anchor
 OBJ = ["doc_id", "obj"]
 
 
-def preorder(g: pd.DataFrame) -> pd.DataFrame:
+def places(first: list, size: list, parent: list, last: list) -> list[int]:
     """Start of each run of one object: an explicit stack, so depth is no limit.
 
     Runs whose origin is unknown come last, in order of their id.
     """
-    first = list(zip(g["counter"], g["actor"]))
-    known = dict(zip(g["last"], range(len(g))))
+    known = dict(zip(last, range(len(first))))
     children: dict[int, list[int]] = {}
-    for k, p in enumerate(g["parent"]):
+    for k, p in enumerate(parent):
         children.setdefault(-1 if p is None or pd.isna(p) else known.get(p, -2), []).append(k)
     for c in children.values():
         c.sort(key=lambda k: first[k])  # taken from the end: descending ids
-    size, start, at = g["n"].tolist(), [0] * len(g), 0
+    start, at = [0] * len(first), 0
     for root in (-1, -2):
         stack = list(children.get(root, ()))
         if root == -2:
@@ -40,6 +39,12 @@ def preorder(g: pd.DataFrame) -> pd.DataFrame:
             start[k] = at
             at += size[k]
             stack.extend(children.get(k, ()))
+    return start
+
+
+def preorder(g: pd.DataFrame) -> pd.DataFrame:
+    """``places`` of the runs of one object, as a group."""
+    start = places(list(zip(g["counter"], g["actor"])), g["n"].tolist(), g["parent"].tolist(), g["last"].tolist())
     return g[["doc_id", "obj", "actor", "run"]].assign(start=start)
 
 

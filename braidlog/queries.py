@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codec, json as js
-from .operators import dag, merge, patches, sequence, state, sync, write
+from .operators import dag, merge, patches, runs, sequence, state, sync, write
 from .schema import OP_ID, anchor, value
 from .sources import adapters as A
 from .storage import cut
@@ -370,17 +370,19 @@ def marks_at(spark, sf_dir):
 
 # ---------------------------------------------------------------- text
 def _typed(spark, sf_dir):
-    return sequence.visible(A.text_log(spark, sf_dir))
+    """Every text as runs, and the marks of what was deleted."""
+    typed, dels = A.text_runs(spark, sf_dir)
+    return typed, runs.gone(sequence.deleted(dels))
 
 
 @query(TEXT + "select doc_id, text from t")
 def text_content(spark, sf_dir):
-    return sequence.text(_typed(spark, sf_dir)).select("doc_id", "text")
+    return runs.text(*_typed(spark, sf_dir)).select("doc_id", "text")
 
 
 @query(TEXT + "select doc_id, n from t")
 def text_length(spark, sf_dir):
-    return sequence.length(_typed(spark, sf_dir)).select("doc_id", "n")
+    return runs.length(*_typed(spark, sf_dir)).select("doc_id", "n")
 
 
 @query(TEXT + """, half as (select doc_id, max(i) as n from c group by doc_id)
