@@ -400,14 +400,21 @@ def text_at(spark, sf_dir):
 @query(TEXT + "select doc_id, case when n >= 6 then substr(text, 1, 2) || 'xyz' || substr(text, 6) end as text from t where n >= 6")
 def text_splice(spark, sf_dir):
     """Three characters at index 2 of every text replaced by three others."""
-    ops = A.text_log(spark, sf_dir).drop("event_id")
-    shown = cut(sequence.visible(ops))
-    cmd = (sequence.length(shown).where("n >= 6").select("doc_id", "obj").withColumn("op", F.struct(F.lit(1 << 50).alias("counter"), F.lit("u").alias("actor")))
-           .withColumn("pos", F.lit(2).cast("bigint")).withColumn("count", F.lit(3)).withColumn("text", F.lit("xyz")))
-    edit = sequence.splice_ops(cmd, shown)
-    after = ops.join(cmd.select("doc_id"), "doc_id", "left_semi").withColumn("obj", F.lit(None).cast(ops.schema["obj"].dataType))
-    both = after.unionByName(edit.withColumn("obj", F.lit(None).cast(ops.schema["obj"].dataType)).select(*after.columns))
-    return sequence.text(sequence.visible(both)).select("doc_id", "text")
+    typed, marks = _typed(spark, sf_dir)
+    marks = cut(marks)
+    gone, new = _spliced(typed, marks)
+    both = typed.unionByName(new.withColumn("obj", F.lit(None).cast(OP_ID)))
+    after = runs.text(both, marks.unionByName(runs.gone(sequence.deleted(gone))))
+    return after.where("char_length(text) >= 6").select("doc_id", "text")  # as many as before the edit
+
+
+def _spliced(typed: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The deletes and the run that put ``xyz`` for the three characters at index 2 of texts of six at least."""
+    shown = cut(runs.shown(typed, marks))
+    cmd = (shown.groupBy("doc_id", "obj").agg(F.sum("seen").alias("n")).where("n >= 6").select("doc_id", "obj", F.struct(F.lit(1 << 50).alias("counter"), F.lit("u").alias("actor")).alias("op"),
+           F.lit(2).cast("bigint").alias("pos"), F.lit(3).alias("count"), F.lit("xyz").alias("text")))
+    gone, new = runs.splice(cmd, shown)
+    return cut(gone), cut(new)
 
 
 # ---------------------------------------------------------------- patches
