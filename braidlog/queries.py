@@ -420,8 +420,8 @@ def _spliced(typed: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ---------------------------------------------------------------- patches
 @query("select doc_id, 'splice_text' as action, 0::bigint as index, 0::bigint as count, text from documents where coalesce(text, '') <> ''")
 def patches_splice(spark, sf_dir):
-    ops = A.text_log(spark, sf_dir).where("action = 'splice_text'")
-    return patches.patches(ops, ["doc_id"]).select("doc_id", "action", "index", "count", "text")
+    typed, _ = A.text_runs(spark, sf_dir)
+    return patches.patches(runs.as_ops(typed), ["doc_id"]).select("doc_id", "action", "index", "count", "text")
 
 
 @query(TEXT + "select doc_id, i::bigint - 1 as index, 1::bigint as count from c where i % 7 = 0")
