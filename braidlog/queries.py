@@ -797,11 +797,8 @@ def patches_insert(spark, sf_dir):
 @query(TEXT + "select doc_id, 'splice_text' as action, 2::bigint as index, 3::bigint as count, 'xyz' as text from t where n >= 6")
 def patches_delete_then_text(spark, sf_dir):
     """Three deletes at one index and the text typed there are one splice."""
-    ops = A.text_log(spark, sf_dir)
-    shown = cut(sequence.visible(ops))
-    cmd = (sequence.length(shown).where("n >= 6").select("doc_id", "obj").withColumn("op", F.struct(F.lit(1 << 50).alias("counter"), F.lit("u").alias("actor")))
-           .withColumn("pos", F.lit(2).cast("bigint")).withColumn("count", F.lit(3)).withColumn("text", F.lit("xyz")))
-    return patches.patches(sequence.splice_ops(cmd, shown), ["doc_id"]).select("doc_id", "action", "index", "count", "text")
+    gone, new = _spliced(*_typed(spark, sf_dir))
+    return patches.patches(gone.unionByName(runs.unfold(new)), ["doc_id"]).select("doc_id", "action", "index", "count", "text")
 
 
 @query(LOG + """select doc_id, actor, counter as at, concat('{"obj":"root","key":"', key, '","action":{"type":"put","value":', v, ',"conflict":false}}') as json from ops where action = 'put'
