@@ -389,12 +389,9 @@ def text_length(spark, sf_dir):
 select doc_id, string_agg(s, '' order by i) as text from c join half using (doc_id) where i % 7 <> 0 and 2 * i <= n group by doc_id""")
 def text_at(spark, sf_dir):
     """Text as of the clock at which half of each document was typed; deletes of that half are by another actor and are included."""
-    ops = A.text_log(spark, sf_dir)
-    typed = F.col("action") == "splice_text"
-    half = ops.where(typed).groupBy("doc_id").agg(F.floor(F.max("op.counter") / 2).alias("max_counter"))
-    early = merge.visible_at(ops.where(typed), half.withColumn("actor", F.lit("t")))
-    dels = ops.where(~typed).join(half, "doc_id").where(F.get("pred", 0)["counter"] <= F.col("max_counter")).drop("max_counter")
-    return sequence.text(sequence.visible(early.unionByName(dels))).select("doc_id", "text")
+    typed, marks = _typed(spark, sf_dir)
+    half = typed.groupBy("doc_id", "op.actor").agg(F.floor(F.max(F.col("op.counter") + F.col("n") - 1) / 2).alias("max_counter"))
+    return runs.text(runs.visible_at(typed, half), marks).select("doc_id", "text")
 
 
 @query(TEXT + "select doc_id, case when n >= 6 then substr(text, 1, 2) || 'xyz' || substr(text, 6) end as text from t where n >= 6")
