@@ -23,3 +23,28 @@ def test_a_cut_keeps_no_estimate(spark):
     log = cut(Q._nested(spark, DIR))
     assert int(log._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > 1 << 60
     assert log.count() and log.schema == Q._nested(spark, DIR).schema
+
+
+def documents(spark) -> int:
+    return spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["text_content", "text_length", "text_at", "patches_splice"])
+def test_no_character_is_a_row(spark, name):
+    assert "posexplode" not in planned(Q.QUERIES[name](spark, DIR))
+
+
+@pytest.mark.parametrize("name", ["text_splice", "patches_delete_then_text", "json_export_text"])
+def test_no_character_is_kept_as_a_row(spark, monkeypatch, name):
+    from braidlog.functions import json as js
+
+    rows = []
+
+    def spy(df):
+        rows.append((kept := cut(df)).count())
+        return kept
+
+    monkeypatch.setattr(Q, "cut", spy)
+    monkeypatch.setattr(js, "cut", spy)
+    Q.QUERIES[name](spark, DIR).count()
+    assert rows and max(rows) <= 10 * documents(spark)
