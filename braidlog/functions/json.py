@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import OPS
+from ..schema import OPS, value
 from ..storage import cut
 
 #: Fixed value: an array index of a pointer.
@@ -473,20 +473,30 @@ def hex_to_bytes(text: Column) -> Column:
     return F.when(text.isNotNull(), F.when(sound, F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("not hexadecimal: "), text)).cast("binary")))
 
 
-def export_json(ops: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+def export_json(ops: DataFrame, shown: DataFrame | None = None, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(doc_id, json)`` of whole documents: maps and tables as objects, lists as arrays, text as strings.
 
     ``ops`` may be a log cut at heads or a clock: children and kinds are then
     those of that time. ``shown`` is ``sequence.visible(ops)`` if it is known.
+    ``texts`` holds the text objects, all of them, if their characters are not
+    among ``ops`` but in ``runs`` with their marks; where they stand they are
+    strings like any other.
     """
-    from ..operators import sequence, state
+    from ..operators import runs, sequence, state
 
     ops = cut(ops)
     won = state.winners(state.entries(ops)).select("doc_id", "obj", "key_str", F.lit(None).cast("bigint").alias("idx"), "op", "value")
     shown = sequence.visible(ops) if shown is None else shown
     elems = shown.select("doc_id", "obj", F.lit(None).cast("string").alias("key_str"), "idx", F.col("at").alias("op"), "value")
     kinds = state.objects(ops).select("doc_id", "obj", "kind").distinct()
-    return _folded(won.unionByName(elems), kinds)
+    members = won.unionByName(elems)
+    if texts is not None:
+        is_text = (F.col("value.tag") == "obj") & F.coalesce(F.col("value.obj") == "text", F.lit(False))
+        rest = members.where(~is_text)
+        holders = members.where(is_text).select(F.struct("doc_id", F.col("op").alias("obj")).alias("at"), F.struct(*members.columns).alias("holder"))
+        strings = runs.text(*texts, holders).select("holder.*", "text").withColumn("value", value("str", F.col("text"))).select(*members.columns)
+        return _folded(rest.unionByName(strings), kinds, rest.where("value.tag = 'obj'").count())
+    return _folded(members, kinds)
 
 
 def export_maps(won: DataFrame) -> DataFrame:
@@ -494,12 +504,13 @@ def export_maps(won: DataFrame) -> DataFrame:
     return _folded(won.select("doc_id", "obj", "key_str", F.lit(None).cast("bigint").alias("idx"), "op", "value"), None)
 
 
-def _folded(members: DataFrame, kinds: DataFrame | None) -> DataFrame:
+def _folded(members: DataFrame, kinds: DataFrame | None, objects: int | None = None) -> DataFrame:
     """``(doc_id, json)`` of the roots, from members ``(doc_id, obj, key_str or idx, op, value)`` of all objects.
 
     Children are folded into their parents one level a round until a round
     changes nothing, so any depth is whole; one object is one group. Each round is
-    checkpointed to the shared folder.
+    checkpointed to the shared folder. ``objects``: how many members are objects,
+    if that is known.
     """
     if kinds is None:
         kinds = members.where("value.tag = 'obj'").select("doc_id", F.col("op").alias("obj"), F.col("value.obj").alias("kind")).unionByName(members.select("doc_id", "obj", F.lit("map").alias("kind")).where("obj.counter = 0").distinct())
@@ -509,14 +520,14 @@ def _folded(members: DataFrame, kinds: DataFrame | None) -> DataFrame:
     def fold(rows: DataFrame) -> DataFrame:
         """Each object of ``kinds`` as JSON, from its members as they are now."""
         key = text_json(F.col("key_str"))
-        m = F.struct("key_str", "idx", F.when(F.col("key_str").isNotNull(), F.concat(key, F.lit(":"), F.col("json"))).otherwise(F.col("json")).alias("m"), F.col("value.s").alias("s"))
+        m = F.struct("key_str", "idx", F.when(F.col("key_str").isNotNull(), F.concat(key, F.lit(":"), F.col("json"))).otherwise(F.col("json")).alias("m"), F.when(F.col("key_str").isNull(), F.col("value.s")).alias("s"))  # a string below a key is in m
         got = rows.groupBy("doc_id", "obj").agg(F.array_sort(F.collect_list(m)).alias("x"))
         joined = F.array_join(F.transform("x", lambda x: x["m"]), ",")
         whole = F.when(F.col("kind") == "list", F.concat(F.lit("["), joined, F.lit("]"))).when(
             F.col("kind") == "text", text_json(F.array_join(F.transform("x", lambda x: F.coalesce(x["s"], F.lit(""))), ""))).otherwise(F.concat(F.lit("{"), joined, F.lit("}")))
         return kinds.join(got, ["doc_id", "obj"], "left").select("doc_id", "obj", F.when(F.col("x").isNull(), empty).otherwise(whole).alias("folded"))
 
-    objects = members.where("value.tag = 'obj'").count()
+    objects = members.where("value.tag = 'obj'").count() if objects is None else objects
     if objects:
         node = cut(node.withColumn("json", F.coalesce("json", F.lit("{}"))))
     # a level holds an object at least, so there are no more rounds than objects

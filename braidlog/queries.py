@@ -720,13 +720,13 @@ def json_export_lists(spark, sf_dir):
 @query(TEXT + "select doc_id, to_json(text)::varchar as json from t")
 def json_export_text(spark, sf_dir):
     """Typed text as the string below a key."""
-    ops = A.text_log(spark, sf_dir)
+    typed, marks = _typed(spark, sf_dir)
     box = F.struct(F.lit(1 << 45).alias("counter"), F.lit("box").alias("actor"))
-    made = ops.select("doc_id").distinct().withColumn("op", box).withColumn("key_str", F.lit("t")).withColumn("action", F.lit("make_object")).withColumn("value", value("obj", F.lit("text")))
+    made = typed.select("doc_id").distinct().withColumn("op", box).withColumn("key_str", F.lit("t")).withColumn("action", F.lit("make_object")).withColumn("value", value("obj", F.lit("text")))
     made = made.withColumn("pred", F.array().cast(f"array<{OP_ID}>")).withColumn("obj", F.lit(None).cast(OP_ID)).withColumn("after", F.lit(None).cast(OP_ID)).withColumn("key_idx", F.lit(None).cast("bigint"))
-    out = js.export_json(ops.withColumn("obj", box).select(*write.COLUMNS).unionByName(made.select(*write.COLUMNS)))
-    typed = F.expr("substring(json, 6, length(json) - 6)")
-    return out.select("doc_id", typed.alias("json")).where("json <> '\"\"'")
+    out = js.export_json(made.select(*write.COLUMNS), texts=(typed.withColumn("obj", box), marks))
+    string = F.expr("substring(json, 6, length(json) - 6)")
+    return out.select("doc_id", string.alias("json")).where("json <> '\"\"'")
 
 
 @query(f"select doc_id, doc_id as z, k from ({_EACH})")
