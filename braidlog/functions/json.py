@@ -493,7 +493,7 @@ def export_json(ops: DataFrame, shown: DataFrame | None = None, texts: tuple[Dat
     if texts is not None:
         is_text = (F.col("value.tag") == "obj") & F.coalesce(F.col("value.obj") == "text", F.lit(False))
         rest = members.where(~is_text)
-        holders = members.where(is_text).select(F.struct("doc_id", F.col("op").alias("obj")).alias("at"), F.struct(*members.columns).alias("holder"))
+        holders = members.where(is_text).select(runs.place("doc_id", "op").alias("at"), F.struct(*members.columns).alias("holder"))
         strings = runs.text(*texts, holders).select("holder.*", "text").withColumn("value", value("str", F.col("text"))).select(*members.columns)
         return _folded(rest.unionByName(strings), kinds, rest.where("value.tag = 'obj'").count())
     return _folded(members, kinds)
