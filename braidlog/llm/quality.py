@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Hash buckets; labelled rows used for fitting at most (those with the smallest
-#: hashes of their ids); pseudo documents; log ratios that count as none.
+#: Hash buckets; labelled rows that are broadcast at most (more are joined by a
+#: shuffle); pseudo documents; log ratios that count as none.
 BUCKETS, MAX_LABELS, PSEUDO, FLAT = 1 << 22, 200_000, 3.0, 2.0
 #: Scale of the noise: one samples in proportion to the importance.
 TEMPERATURE = 1.0
@@ -94,16 +94,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         max_labels: int = MAX_LABELS, pseudo: float = PSEUDO, flat: float = FLAT) -> Model:
     """Fit the raw model on all rows of ``docs`` and the target model on those that ``labels`` ``(id_col, good boolean)`` calls good.
 
-    ``max_labels`` bounds the labelled rows, and so the table of ids that is
-    broadcast; documents are counted whole and all. A task counts in two arrays
+    All labelled rows count. Up to ``max_labels`` of them are broadcast; beyond,
+    labels and texts are shuffled to meet. An id with several labels is good if
+    all of them say so. Documents are counted whole and all. A task counts in two arrays
     of ``buckets`` and gives one row for each bucket it met. Counts are summed and
     weighed in Spark; only buckets with a clear ratio are collected, ``buckets`` at
     most. Null ids and null labels are ignored, rows without a label count as raw
     text. Where no row is good every ratio is zero and the share is one.
     """
     known = labels.where(F.col("good").isNotNull()).select(F.col(id_col).alias("id"), F.col("good").cast("int").alias("good"))
-    known = known.dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_labels)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id", "left").select("text", "good")
+    known = known.groupBy("id").agg(F.min("good").alias("good"))
+    known = F.broadcast(known) if labels.limit(max_labels + 1).count() <= max_labels else known.hint("merge")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(known, "id", "left").select("text", "good")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target, memo = np.zeros(buckets, np.int32), np.zeros(buckets, np.int32), {}

@@ -59,3 +59,10 @@ def test_no_good_rows_keep_all(spark):
     assert [r.kept for r in quality.resample(df, none).collect()] == [True, True]
     assert quality.resample(df.limit(0), none).collect() == []
     assert np.isfinite([r.key for r in quality.resample(df, none).collect()]).all()
+
+
+def test_the_bound_on_broadcast_labels_leaves_none_out(spark):
+    df = spark.createDataFrame(corpus(), "doc_id long, text string, good boolean")
+    labels = df.where("good is not null").select("doc_id", "good")
+    whole, shuffled = (quality.fit(df, labels, flat=0.5, max_labels=n) for n in (1000, 3))
+    assert whole.target_docs > 3 and shuffled == whole
