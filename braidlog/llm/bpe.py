@@ -11,6 +11,7 @@ points are encoded by merge ranks. Decoding concatenates the tokens' bytes.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,8 +72,21 @@ def trusted_ends(pieces: list[str], start: int, n_text: int) -> list[tuple[int,
     return out
 
 
+def _ids_digest(ids: np.ndarray) -> str:
+    return hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest()
+
+
+def _decoded(model: dict, ids: np.ndarray) -> bytes:
+    return b"".join(map(model["bytes"].__getitem__, ids.tolist()))
+
+
+def _with_digests(rows: pd.DataFrame, model: dict) -> pd.DataFrame:
+    return rows.assign(ids_sha256=[_ids_digest(x) for x in rows["ids"]],
+                       decoded_sha256=[hashlib.sha256(_decoded(model, x)).hexdigest() for x in rows["ids"]])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+           chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
     """``(id_col, ids array<int>, n_tokens long)``, one row per row of ``docs``.
 
     A null text counts as empty and an empty text has no tokens. Repeated rows
@@ -81,20 +95,24 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     endless word) is put together again and split as a whole.
 
     Texts of one chunk are encoded where they are read. Only chunks of longer
-    texts are shuffled, and a group holds the chunks of one text.
+    texts are shuffled, and a group holds the chunks of one text. ``digest`` adds
+    ``ids_sha256`` and ``decoded_sha256``, those of ``digests``: the worker that
+    encoded a text decodes its ids, so a task needs no second worker for that.
     """
     if not 0 < 2 * overlap <= chunk:
         raise ValueError("the overlap must be positive and at most half a chunk")
     kind = docs.schema[id_col].dataType
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     done = T.StructType([T.StructField("id", kind), T.StructField("ids", T.ArrayType(T.IntegerType())),
-                         T.StructField("n_tokens", T.LongType())])
+                         T.StructField("n_tokens", T.LongType()),
+                         *(T.StructField(x, T.StringType()) for x in ("ids_sha256", "decoded_sha256") if digest)])
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(path, pattern)
         for b in batches:
             ids = [_encode_pieces(model, model["split"].findall(t)) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "ids": ids, "n_tokens": [len(x) for x in ids]})
+            out = pd.DataFrame({"id": b["id"], "ids": ids, "n_tokens": [len(x) for x in ids]})
+            yield _with_digests(out, model) if digest else out
         model["memo"].clear()
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +154,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         else:
             end.append(len(rows[-1].ids))
             ids = np.concatenate([r.ids[x:y] for r, x, y in zip(rows, begin, end)]).astype(np.int32)
-        return pd.DataFrame({"id": [g["id"].iloc[0]] * copies, "ids": [ids] * copies, "n_tokens": [len(ids)] * copies})
+        out = pd.DataFrame({"id": [g["id"].iloc[0]] * copies, "ids": [ids] * copies, "n_tokens": [len(ids)] * copies})
+        return _with_digests(out, _model(path, pattern)) if digest else out
 
     short = src.where(F.char_length("text") <= chunk).mapInPandas(whole, done)
     n = F.ceil(F.char_length("text") / F.lit(chunk)).cast("int")
@@ -165,8 +184,8 @@ def decoder(path: str, pattern: str):
 
     @F.pandas_udf(T.BinaryType())
     def decode(ids: pd.Series) -> pd.Series:
-        known = _model(path, pattern)["bytes"]
-        return ids.map(lambda x: None if x is None else b"".join(map(known.__getitem__, x.tolist())))
+        model = _model(path, pattern)
+        return ids.map(lambda x: None if x is None else _decoded(model, x))
 
     return decode
 
@@ -174,9 +193,7 @@ def decoder(path: str, pattern: str):
 @F.pandas_udf(T.StringType())
 def ids_sha256(ids: pd.Series) -> pd.Series:
     """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
-    return ids.map(lambda x: None if x is None else hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())
+    return ids.map(lambda x: None if x is None else _ids_digest(x))
 
 
 def digests(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:

@@ -239,6 +239,7 @@ def without_lines(docs: DataFrame, drop: DataFrame, id_col: str = "doc_id", text
             m.append(len(lines) - len(left))
         return pd.DataFrame({"kept": kept, "n_lines": n, "n_dropped": m})
 
+    run = run.asNondeterministic()  # else Spark copies it into a filter above, and each task splits all texts again in a second worker
     gone = drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
     met = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -91,9 +91,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and digests of each text of the mix."""
     small_batches(spark)
     path, pattern = tokenizer()
-    encoded = bpe.encode(docs, path, pattern)
-    decode = bpe.decoder(path, pattern)
-    return encoded.select("doc_id", "n_tokens", "ids", bpe.ids_sha256("ids").alias("ids_sha256"), F.sha2(decode(F.col("ids")), 256).alias("decoded_sha256"))
+    return bpe.encode(docs, path, pattern, digest=True).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

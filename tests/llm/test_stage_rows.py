@@ -3,7 +3,7 @@
 import pytest
 
 import corpus_pipeline
-from braidlog.llm import mixing, quality
+from braidlog.llm import bpe, mixing, quality
 
 SCHEMA = "doc_id long, text string, source string, n_chars long"
 LINE = "a line that is long enough to count"
@@ -45,3 +45,24 @@ def test_mix_stage_emits_what_the_mix_takes(spark, times):
     words = {r.target for r in mixing.mix(df, "doc_id").collect()}
     total = sum(len(t.split()) for _, t, _ in rows)
     assert abs(sum(len(t.split()) for t in out) - total) <= 40 and words and max(map(out.count, out)) <= 3 * times
+
+
+def workers(df):
+    """Python steps of each stage's plan: a task holds a worker for every one."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [part.count("EvalPython") + part.count("InPandas") for part in plan.split("Exchange")]
+
+
+def test_a_task_of_the_line_stage_has_one_python_worker(spark):
+    rows = [(k, f"text {k}\n{LINE}", "a") for k in range(4)]
+    assert max(workers(corpus_pipeline.line_stage(spark, frame(spark, rows), ""))) == 1
+
+
+def test_a_task_of_the_token_stage_has_one_python_worker(spark):
+    rows = [(1, "a few words", "a"), (1, "a few words", "a"), (None, "", "a"), (2, None, "a"), (3, "many words\u00e9 " * 4000, "a")]
+    df = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], SCHEMA)
+    out = corpus_pipeline.bpe_stage(spark, df, "")
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    path, pattern = corpus_pipeline.tokenizer()
+    told = bpe.digests(bpe.encode(df, path, pattern), path, pattern)
+    assert sorted(map(tuple, out.drop("ids").collect()), key=str) == sorted(map(tuple, told.collect()), key=str)
