@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from ..schema import OPS, value
 from ..storage import cut
 
+#: Documents whose operations are written as one batch.
+IMPORT_DOCS = 1000
+#: Operations of a document that a worker folds in memory; larger ones are folded by rounds.
+FOLD_OPS = 100_000
 #: Fixed value: an array index of a pointer.
 INDEX = re.compile(r"0|[1-9][0-9]*")
 
@@ -384,14 +388,82 @@ def subtrees(commands: DataFrame) -> DataFrame:
     return commands.select("doc_id", "op", "obj", "key_str", "pred", "json").mapInPandas(run, OPS)
 
 
+_ACTIONS = ("put", "make_object", "insert")
+
+
+def _log_batch(docs: list, texts: list, actor: str):
+    """The operations of ``tree_ops`` for every document, written by columns: a log has many rows a document."""
+    import pyarrow as pa
+    from decimal import Decimal
+
+    doc, counter, obj, key, idx, action, tag, val, after = [], [], [], [], [], [], [], [], []
+    for d, text in zip(docs, texts):
+        tree = None if text is None else json.loads(text)
+        if not isinstance(tree, dict):
+            continue
+        c, stack = 1, [(None, tree)]
+        while stack:
+            o, node = stack.pop()
+            keyed, last = isinstance(node, dict), None
+            for k, v in node.items() if keyed else enumerate(node):
+                kind = "map" if isinstance(v, dict) else "list" if isinstance(v, list) else None
+                t, x = ("obj", kind) if kind else infer(v)
+                counter.append(c)
+                obj.append(o)
+                if keyed:
+                    key.append(k)
+                    idx.append(None)
+                    action.append(1 if kind else 0)
+                else:
+                    key.append(None)
+                    idx.append(k)
+                    action.append(2)
+                tag.append(t)
+                val.append(x)
+                after.append(last)
+                if not keyed:
+                    last = c
+                if kind:
+                    stack.append((c, v))
+                c += 1
+        doc += [d] * (c - 1)
+    n, tags = len(doc), set(tag)
+    ids = pa.struct([("counter", pa.int64()), ("actor", pa.string())])
+    actors = pa.repeat(pa.scalar(actor, pa.string()), n)
+
+    def op_ids(counters: list) -> pa.Array:
+        at = pa.array(counters, pa.int64())
+        return pa.StructArray.from_arrays([at, actors], fields=list(ids), mask=at.is_null())
+
+    def held(name: str, kind: pa.DataType) -> pa.Array:
+        if name not in tags:
+            return pa.nulls(n, kind)
+        return pa.array([x if t == name else None for t, x in zip(tag, val)] if name != "uint" else [Decimal(x) if t == name else None for t, x in zip(tag, val)], kind)
+
+    values = {"tag": pa.array(tag, pa.string()), "b": held("bool", pa.bool_()), "i": held("int", pa.int64()), "u": held("uint", pa.decimal128(20, 0)),
+              "d": held("double", pa.float64()), "s": held("str", pa.string()), "bin": pa.nulls(n, pa.binary()), "obj": held("obj", pa.string())}
+    actions = pa.DictionaryArray.from_arrays(pa.array(action, pa.int32()), pa.array(_ACTIONS)).cast(pa.string())
+    pred = pa.ListArray.from_arrays(pa.repeat(pa.scalar(0, pa.int32()), n + 1), pa.array([], ids))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc, pa.int64()), op_ids(counter), op_ids(obj), pa.array(key, pa.string()), pa.array(idx, pa.int64()), actions,
+         pa.StructArray.from_arrays(list(values.values()), names=list(values)), pred, op_ids(after)], names=_COLUMNS)
+
+
+def together(df: DataFrame) -> DataFrame:
+    """The rows of each ``doc_id`` one after the other in one partition. Documents brought so give a log that stands so."""
+    return df.repartition("doc_id").sortWithinPartitions("doc_id")
+
+
 def import_json(docs: DataFrame, actor: str) -> DataFrame:
     """``(doc_id, json)`` as operation logs; a null text has no operations."""
     def run(batches):
         for b in batches:
-            rows = [_log_row(doc, o) for doc, text in zip(b["doc_id"], b["json"]) if text is not None for o in tree_ops(json.loads(text), actor)]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            # a few documents at a time: a log is many times its texts
+            for at in range(0, b.num_rows, IMPORT_DOCS):
+                part = b.slice(at, IMPORT_DOCS)
+                yield _log_batch(part.column(0).to_pylist(), part.column(1).to_pylist(), actor)
 
-    return docs.select("doc_id", "json").mapInPandas(run, OPS)
+    return docs.select(F.col("doc_id").cast("bigint"), "json").mapInArrow(run, OPS)
 
 
 def scalar_json(v: Column) -> Column:
@@ -473,6 +545,169 @@ def hex_to_bytes(text: Column) -> Column:
     return F.when(text.isNotNull(), F.when(sound, F.unhex(text)).otherwise(F.raise_error(F.concat(F.lit("not hexadecimal: "), text)).cast("binary")))
 
 
+# what a row does to its document, beside 0: nothing but that it is there, and -1: to be folded by rounds
+_PUT, _DELETE, _INSERT, _REMOVE, _SET = 1, 2, 3, 4, 5
+
+
+def _fold_rows(ops: DataFrame) -> DataFrame:
+    """What ``fold_document`` needs of each operation, in the order of ``ops``. ``pred`` goes as it is: null lists are slow to send."""
+    v, keyed, action = F.col("value"), F.col("key_str").isNotNull(), F.col("action")
+    put = action.isin("put", "make_object")
+    code = (F.when(put & keyed, _PUT).when(put, _SET).when(action.isin("insert", "splice_text"), _INSERT)
+            .when((action == "del") & keyed, _DELETE).when(action == "del", _REMOVE).otherwise(0))
+    half = lambda c: F.col(c).isNotNull() & (F.col(f"{c}.counter").isNull() | F.col(f"{c}.actor").isNull())
+    odd = F.col("op").isNull() | half("op") | half("obj") | half("after") | code.isin(_PUT, _INSERT, _SET) & ~F.coalesce((v["tag"] == "str") == v["s"].isNotNull(), F.lit(False))
+    is_obj = v["tag"] == "obj"
+    return ops.select(
+        "doc_id", F.when(odd & (code != 0), -1).otherwise(code).alias("code"), F.coalesce("op.counter", F.lit(0)).alias("c"), F.col("op.actor").alias("a"),
+        F.coalesce("obj.counter", F.lit(0)).alias("oc"), F.coalesce("obj.actor", F.lit("")).alias("oa"), F.col("key_str").alias("key"),
+        F.when(F.col("key_str").rlike(r'[\x00-\x1F"\\]'), text_json(F.col("key_str"))).alias("kj"), F.when(~is_obj, scalar_json(v)).alias("json"),
+        F.when(is_obj & (put | (action == "insert")), F.coalesce(v["obj"], F.lit("map"))).alias("kind"), v["s"].isNotNull().alias("is_str"),
+        "pred", F.coalesce("after.counter", F.lit(0)).alias("fc"), F.col("after.actor").alias("fa"))
+
+
+def fold_document(rows: list[tuple]) -> str | None:
+    """One document as JSON from its operations in any order; null if it is one for the rounds.
+
+    A made object has a larger id than the one that holds it, so objects are
+    written from the largest id on and depth is no limit. Repeated or incomplete
+    ids and holders that break that order are left to the rounds.
+    """
+    from ..operators.sequence import places
+
+    root = (0, "")
+    dead, gone, sets, puts, inserts, kinds, n = set(), set(), {}, {}, {}, {}, 0
+    ids = set()
+    for code, c, a, oc, oa, key, kj, text, kind, is_str, pred, fc, fa in rows:
+        if code == 0:
+            continue
+        if code < 0 or c < 1 or a is None:
+            return None
+        op = (c, a)
+        ids.add(op)
+        n += 1
+        named = ()
+        if pred:
+            if any(p is None or p["counter"] is None or p["actor"] is None for p in pred):
+                return None
+            named = [(p["counter"], p["actor"]) for p in pred]
+        if code == _REMOVE:
+            gone.update(named)
+            continue
+        if code == _DELETE:
+            dead.update(named)
+            continue
+        if text is None and kind is None:
+            return None
+        if kind is not None:
+            kinds[op] = kind
+        if code == _PUT:
+            dead.update(named)
+            puts.setdefault((oc, oa), []).append((op, key, kj, text))
+        elif code == _INSERT:
+            inserts.setdefault((oc, oa), []).append((op, None if fa is None else (fc, fa), text, is_str))
+        else:
+            for p in named:
+                if p not in sets or sets[p][0] < op:
+                    sets[p] = (op, text, is_str)
+    if len(ids) < n:
+        return None
+    done: dict[tuple, str] = {}
+    for obj in (*sorted(kinds, reverse=True), root):
+        kind, parts = kinds[obj] if obj is not root else "map", []
+        here = inserts.get(obj)
+        if here:
+            last = None
+            for e in here:
+                if e[1] != last:  # not one line of typing
+                    start = places([e[0] for e in here], [1] * len(here), [e[1] for e in here], [e[0] for e in here])
+                    order = sorted(range(len(here)), key=start.__getitem__)
+                    if any(start[k] != at for at, k in enumerate(order)):
+                        return None
+                    here = [here[k] for k in order]
+                    break
+                last = e[0]
+            for op, _, text, is_str in here:
+                if op in gone:
+                    continue
+                if op in sets:
+                    op, text, is_str = sets[op]
+                if kind == "text":
+                    parts.append(text[1:-1] if is_str else "")
+                    continue
+                if text is None and (text := done.get(op)) is None:
+                    return None
+                parts.append(text)
+        won: dict[str, tuple] = {}
+        for p in puts.get(obj, ()) if kind != "text" else ():
+            if p[0] not in dead and (p[1] not in won or won[p[1]][0] < p[0]):
+                won[p[1]] = p
+        for key in sorted(won):
+            op, _, kj, text = won[key]
+            if text is None and (text := done.get(op)) is None:
+                return None
+            parts.append((kj or f'"{key}"') + ":" + text)
+        done[obj] = f'"{"".join(parts)}"' if kind == "text" else ("[" + ",".join(parts) + "]") if kind == "list" else ("{" + ",".join(parts) + "}")
+    return done[root]
+
+
+def _fold_batches(batches, most: int):
+    """``(doc_id, json)`` batches from batches of ``_fold_rows``, each document's rows one after the other."""
+    import pyarrow as pa
+
+    def plain(col: pa.Array) -> list:
+        if col.null_count == len(col) or pa.types.is_list(col.type) and not len(col.flatten()):
+            return [None] * len(col)
+        if pa.types.is_string(col.type) or pa.types.is_large_string(col.type) or pa.types.is_integer(col.type) and not col.null_count:
+            return col.to_numpy(zero_copy_only=False).tolist()
+        return col.to_pylist()
+
+    def out(docs: list, texts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "json"])
+
+    # the document that may go on in the next batch, as a list of one, and its rows, or null if they are too many
+    now: list = []
+    held: list | None = []
+
+    def folded() -> str | None:
+        return None if held is None or now[0] is None else fold_document(held)
+
+    for b in batches:
+        ids, rows = plain(b.column(0)), list(zip(*(plain(b.column(k)) for k in range(1, b.num_columns))))
+        starts = [k for k in range(len(ids)) if not k or ids[k] != ids[k - 1]]
+        docs, texts = [], []
+        for at, end in zip(starts, [*starts[1:], len(ids)]):
+            if now != [ids[at]]:
+                if now:
+                    docs.append(now[0])
+                    texts.append(folded())
+                now, held = [ids[at]], []
+            if held is not None and len(held) + end - at > most:
+                held = None
+            elif held is not None:
+                held += rows[at:end]
+        yield out(docs, texts)
+    if now:
+        yield out(now, [folded()])
+
+
+def export_together(ops: DataFrame) -> DataFrame:
+    """``export_json`` of a log whose documents' rows stand ``together``: no operation is shuffled or kept.
+
+    A document is folded where its rows are. Those of over ``FOLD_OPS``
+    operations and those that ``fold_document`` leaves are folded by rounds.
+    """
+    most = FOLD_OPS
+    done = cut(_fold_rows(ops).mapInArrow(lambda batches: _fold_batches(batches, most), "doc_id bigint, json string"))
+    left = done.where("json is null").select(F.col("doc_id").alias("left_id"))
+    n = left.count()
+    if not n:
+        return done
+    few = F.broadcast(left) if n <= 10_000 else left
+    rest = export_json(ops.join(few, F.col("doc_id").eqNullSafe(F.col("left_id")), "left_semi"))
+    return done.where("json is not null").unionByName(rest)
+
+
 def export_json(ops: DataFrame, shown: DataFrame | None = None, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``(doc_id, json)`` of whole documents: maps and tables as objects, lists as arrays, text as strings.
 

@@ -688,12 +688,13 @@ def actor_places(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- nested documents
-def _nested(spark, sf_dir):
+def _nested(spark, sf_dir, together=False):
     """A document for every event, with lists in maps and maps in lists."""
     e = _events(spark, sf_dir)
     k = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)).cast("string")
     j = F.concat(F.lit('{"xs":[1,['), k, F.lit('],{}],"m":{"y":[{"z":'), F.col("event_id").cast("string"), F.lit(',"q":"a\\"b"},[]]},"u":'), F.col("user_id").cast("string"), F.lit("}"))
-    return js.import_json(e.select(F.col("event_id").alias("doc_id"), j.alias("json")), "imp")
+    docs = e.select(F.col("event_id").alias("doc_id"), j.alias("json"))
+    return js.import_json(js.together(docs) if together else docs, "imp")
 
 
 _EACH = f"select event_id as doc_id, coalesce({K}, 0) as k, user_id as u from events"
@@ -701,7 +702,7 @@ _EACH = f"select event_id as doc_id, coalesce({K}, 0) as k, user_id as u from ev
 
 @query(f"""select doc_id, concat('{{"m":{{"y":[{{"q":"a\\"b","z":', doc_id, '}},[]]}},"u":', u, ',"xs":[1,[', k, '],{{}}]}}') as json from ({_EACH})""")
 def json_export_nested(spark, sf_dir):
-    return js.export_json(_nested(spark, sf_dir))
+    return js.export_together(_nested(spark, sf_dir, together=True))
 
 
 @query(LIST + """select doc_id, concat('[', string_agg(to_json(val)::varchar, ',' order by idx), ']') as json from vis where val not like '%/%' group by doc_id""".replace(" where val not like '%/%'", ""))
